@@ -11,7 +11,8 @@ all its bins, and ordering by size class makes the taken words follow the target
 
 Defined results: null text has size 0; a null source is a source of its own, last in order;
 rows with equal doc_id and text are told apart by nothing, so it does not matter which one is
-taken; an empty table gives an empty result; other columns of the input are carried along.
+taken; an empty table gives an empty result; other columns of the input are carried along, those named
+as an output are replaced.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ def targets(per_source: DataFrame, weights: tuple[float, ...], cap: float) -> Da
 
 def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 1) -> DataFrame:
     """All rows with size, source_size, target and copies (how often the mix takes the row)."""
+    df = df.drop("size", "source_size", "target", "copies")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     bits = F.length(F.bin("size"))
     rows = df.withColumn("size", size).withColumn("_none", F.col(source).isNull()).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import language_id, mixing, quality, toxicity
 
-QUERIES = {"op2_source_mix": mixing.op2_source_mix}
+QUERIES = {
+    "op2_source_mix": mixing.op2_source_mix,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language_id": language_id.op6_language_id,
+    "op10_quality": quality.op10_quality,
+}
 ORACLES = {"op2_source_mix": mixing.OP2_SQL}
