@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, with_fields
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, max_rows: int, columns: list[str]) -> list:
@@ -61,4 +61,4 @@ def score_rows(docs: DataFrame, model: dict, score: Callable[[dict, pa.Array], n
             s = score(shared.value, batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double").add("predicted", "int"))
+    return docs.mapInArrow(run, with_fields(docs, "score double, predicted int"))

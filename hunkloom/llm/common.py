@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes handled by one round of numpy passes; bounds a worker's memory at about 40 times this.
 BLOCK_BYTES = 2 << 20
@@ -55,6 +56,11 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of `df` with more fields, as a new object."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def held_out(doc_id: str) -> F.Column:
     """True for rows whose labels may not be learned: crc32(doc_id as text) mod 4 is 2."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2

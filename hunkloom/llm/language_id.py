@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, segment_sum, text_blocks
+from .common import held_out, segment_sum, text_blocks, with_fields
 
 SYMBOLS = 64
 #: Bounds of the training sample: documents a language, and characters of a document to be eligible.
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("_letters", letters)
-    schema = rows.schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = with_fields(rows, "lang_pred string, score double, bits_per_byte double")
 
     def run(it):
         m = shared.value
