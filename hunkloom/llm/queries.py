@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, quality, toxicity
+from . import language_id, mixing, pieces, quality, toxicity
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": language_id.op6_language_id,
+    "op7_pieces": pieces.op7_pieces,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {"op2_source_mix": mixing.OP2_SQL}
