@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, pieces, quality, toxicity
+from . import language_id, mixing, ogg, pieces, quality, toxicity
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": language_id.op6_language_id,
     "op7_pieces": pieces.op7_pieces,
+    "op8_ogg": ogg.op8_ogg,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {"op2_source_mix": mixing.OP2_SQL}
