@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ogg, pieces, quality, toxicity
+from . import language_id, mixing, ogg, pieces, quality, topk, toxicity
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_pieces": pieces.op7_pieces,
     "op8_ogg": ogg.op8_ogg,
+    "op9_exact_topk": topk.op9_exact_topk,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op2_source_mix": mixing.OP2_SQL}
+ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op9_exact_topk": topk.OP9_SQL}
