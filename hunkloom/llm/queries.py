@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ogg, pieces, quality, topk, toxicity
+from . import language_id, mixing, ogg, pieces, quality, topk, toxicity, warc
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
+    "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": language_id.op6_language_id,
     "op7_pieces": pieces.op7_pieces,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op9_exact_topk": topk.OP9_SQL}
+ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL, "op9_exact_topk": topk.OP9_SQL}
