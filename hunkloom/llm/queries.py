@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ogg, pieces, quality, topk, toxicity, warc
+from . import jaccard, language_id, mixing, ogg, pieces, quality, topk, toxicity, warc
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": language_id.op6_language_id,
