@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, language_id, mixing, ogg, pieces, quality, topk, toxicity, warc
+from . import jaccard, language_id, line_dedup, mixing, ogg, pieces, quality, topk, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_warc": warc.op4_warc,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op2_source_mix": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL, "op9_exact_topk": topk.OP9_SQL}
+ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op2_source_mix": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL, "op9_exact_topk": topk.OP9_SQL}
