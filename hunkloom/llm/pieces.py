@@ -282,7 +282,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", keep: bool = T
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 shown.append(hashlib.sha256(own.encode()).hexdigest())
                 if keep:
-                    lists.append(list(map(int, ids.split(b","))) if ids else [])
+                    lists.append(np.fromstring(ids.decode(), np.int32, sep=","))
                     decoded.append(own)
             new = [pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(shown, pa.string())] + ([pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
