@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,18 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most so many rows in what runs inside: workers then hold few whole texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of `df` with more fields, as a new object."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

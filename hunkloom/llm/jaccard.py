@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBlock, components, cut, mix64, text_blocks
+from .common import TextBlock, components, cut, mix64, small_batches, text_blocks
 
-TOKEN_BITS, BLOCK_DOCS = 52, 4096
+TOKEN_BITS, BLOCK_DOCS, BLOCK_BYTES = 52, 4096, 1 << 20
 #: Ratio of a size level's ends.
 LEVEL_RATIO = 1.75
 #: Elements of sets that a task holds at once.
@@ -66,7 +66,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For blocks of texts: first row, bounds of each text's tokens, tokens, set sizes, set hashes."""
-    for whole in text_blocks(column):
+    for whole in text_blocks(column, BLOCK_BYTES):
         for at in range(0, len(whole), BLOCK_DOCS):
             a, b = at, min(at + BLOCK_DOCS, len(whole))
             lo, hi = whole.starts[a], whole.ends[b - 1]
@@ -236,6 +236,11 @@ def _walk_groups(percent: int, n: int, by: list[str]):
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """For each row: the key, n_shingles, set_id (equal for equal sets) and component_id."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, key, text, n, percent)
+
+
+def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def measure(it):
