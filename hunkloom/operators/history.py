@@ -68,7 +68,8 @@ def comment_text(severity: Column, category: Column, path: Column, message: Colu
 
 
 def with_ordinals(comments: DataFrame) -> DataFrame:
-    return comments.withColumn("ordinal", F.row_number().over(W.partitionBy("review_id").orderBy("line_number")) - 1)
+    """Place of each comment in its review, by line and then by what it says."""
+    return comments.withColumn("ordinal", F.row_number().over(W.partitionBy("review_id").orderBy("line_number", "file_path", "message", "severity", "category")) - 1)
 
 
 def normalised(comments: DataFrame) -> DataFrame:

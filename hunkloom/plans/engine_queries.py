@@ -224,7 +224,7 @@ def _(spark, sf_dir):
     return history.prompt_context(history.learning_context(*_history(spark, sf_dir)))
 
 
-@query("w08_ordinals", f"WITH {fx.COMMENTS_SQL} SELECT review_id, line_number, (row_number() OVER (PARTITION BY review_id ORDER BY line_number) - 1)::INT AS ordinal, substr(sha256(concat('repo:', review_id, ':', row_number() OVER (PARTITION BY review_id ORDER BY line_number) - 1)), 1, 16) AS id, concat('[', severity, '] [', category, '] ', file_path, ': ', message) AS text FROM review_comments")
+@query("w08_ordinals", f"WITH {fx.COMMENTS_SQL} SELECT review_id, line_number, (row_number() OVER (PARTITION BY review_id ORDER BY line_number, file_path, message, severity, category) - 1)::INT AS ordinal, substr(sha256(concat('repo:', review_id, ':', row_number() OVER (PARTITION BY review_id ORDER BY line_number, file_path, message, severity, category) - 1)), 1, 16) AS id, concat('[', severity, '] [', category, '] ', file_path, ': ', message) AS text FROM review_comments")
 def _(spark, sf_dir):
     c = history.with_ordinals(fx.review_comments(spark, sf_dir))
     return c.select("review_id", "line_number", "ordinal", derive.hashed_id("repo:", F.col("review_id"), ":", F.col("ordinal")).alias("id"), history.comment_text(*(F.col(x) for x in ("severity", "category", "file_path", "message"))).alias("text"))
@@ -242,7 +242,7 @@ def _(spark, sf_dir):
     return history.new_repositories(known, c.selectExpr("concat('r', c_nationkey) AS full_name")).select("full_name", "id")
 
 
-@query("k06_feedback", f"WITH {fx.COMMENTS_SQL}, f AS (SELECT l_orderkey AS review_id, l_linenumber AS line_number, l_linenumber % 2 = 0 AS said FROM lineitem WHERE l_suppkey % 3 = 0) SELECT c.review_id, c.line_number, coalesce(f.said, false) AS is_resolved FROM review_comments c LEFT JOIN f USING (review_id, line_number)")
+@query("k06_feedback", f"WITH {fx.COMMENTS_SQL}, f AS (SELECT DISTINCT l_orderkey AS review_id, l_linenumber AS line_number, l_linenumber % 2 = 0 AS said FROM lineitem WHERE l_suppkey % 3 = 0) SELECT c.review_id, c.line_number, coalesce(f.said, false) AS is_resolved FROM review_comments c LEFT JOIN f USING (review_id, line_number)")
 def _(spark, sf_dir):
     c = fx.review_comments(spark, sf_dir).select("review_id", "line_number", F.lit(False).alias("is_resolved"))
     f = fx.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 0").selectExpr("l_orderkey AS review_id", "l_linenumber AS line_number", "l_linenumber % 2 = 0 AS is_resolved", "l_shipdate AS at")
