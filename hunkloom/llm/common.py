@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,6 +80,12 @@ def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nobody refers to any more, before the next large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 _RNG = np.random.default_rng(20240607)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBlock, components, cut, mix64, small_batches, text_blocks
+from .common import TextBlock, components, cut, mix64, release, small_batches, text_blocks
 
 TOKEN_BITS, BLOCK_DOCS, BLOCK_BYTES = 52, 4096, 1 << 20
 #: Ratio of a size level's ends.
@@ -240,15 +240,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         return _classes(docs, key, text, n, percent)
 
 
-def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-
-    def measure(it):
-        for batch in it:
-            sizes, hashes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-            for first, _, _, size, found in sets_of(batch.column("text"), n):
-                sizes[first : first + len(size)], hashes[first : first + len(size)] = size, found
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(hashes.view(np.int64))], names=["id", "size", "fp"])
+def _clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Components of what passes the index: node (a set), root. The index's shuffle ends with this function."""
 
     def index(it):
         seen: set[int] = set()
@@ -277,11 +270,25 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
             a, b = list_edges(held[0], held[1], held[2].view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    id_type = docs.schema["id"].dataType.simpleString()
-    measured = cut(docs.mapInArrow(measure, f"id {id_type}, size long, fp long"), "sets")
     lists = docs.select("text").mapInArrow(index, "list long, fp long, map long")
     pairs = lists.repartition("list").sortWithinPartitions("list").mapInArrow(reduce, "a long, b long")
-    cluster = cut(components(pairs, "a", "b"), "clusters")
+    return cut(components(pairs, "a", "b"), "clusters")
+
+
+def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def measure(it):
+        for batch in it:
+            sizes, hashes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            for first, _, _, size, found in sets_of(batch.column("text"), n):
+                sizes[first : first + len(size)], hashes[first : first + len(size)] = size, found
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(hashes.view(np.int64))], names=["id", "size", "fp"])
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    measured = cut(docs.mapInArrow(measure, f"id {id_type}, size long, fp long"), "sets")
+    cluster = _clusters(docs, n, percent)
+    release(docs.sparkSession)
 
     first = measured.where("size > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("size").alias("size"))
     members = first.join(cluster.withColumnRenamed("node", "fp"), "fp")
@@ -289,6 +296,7 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     members = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     texts = docs.select(F.col("id").alias("own"), "text")
     members = cut(members.join(texts, members["id"].eqNullSafe(F.col("own"))).select("root", "part", "parts", "fp", "text"), "members")
+    release(docs.sparkSession)
     near = members.withColumn("label", F.col("fp")).select("root", "part", "fp", "label", "text").repartition("root", "part").sortWithinPartitions("root", "part")
     links = cut(near.mapInArrow(_walk_groups(percent, n, ["root", "part"]), "a long, b long"), "links")
 
