@@ -158,7 +158,7 @@ def _(spark, sf_dir):
     return _lint(spark, sf_dir).groupBy("tool").agg(F.count("*").alias("n"))
 
 
-@query("u01_findings", f"WITH {SECRET_LINES_SQL}, {fx.COMMENTS_SQL} SELECT 'secrets' AS tool, count(*) AS n FROM sf UNION ALL SELECT 'bandit', count(*) FROM review_comments UNION ALL SELECT 'semgrep', count(*) FROM review_comments")
+@query("u01_findings", f"WITH {SECRET_LINES_SQL}, {fx.COMMENTS_SQL} SELECT 'secrets' AS tool, count(*) AS n FROM sf HAVING count(*) > 0 UNION ALL SELECT 'bandit', count(*) FROM review_comments UNION ALL SELECT 'semgrep', count(*) FROM review_comments")
 def _(spark, sf_dir):
     files = fx.secret_files(spark, sf_dir).withColumn("review_id", F.col("file_ord"))
     return security.scan(files, _bandit(spark, sf_dir), _semgrep(spark, sf_dir), ["review_id"]).groupBy("tool").agg(F.count("*").alias("n"))
