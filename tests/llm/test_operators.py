@@ -117,6 +117,34 @@ def test_line_dedup_against_brute_force(spark, k):
         assert got[i].kept_lines == kept and got[i].n_links == links[i] and got[i].kept_text == "\n".join(t.split("\n")[j] for j in kept)
 
 
+def test_line_dedup_words_against_brute_force(spark):
+    rnd = random.Random(5)
+    base = [[rnd.choice(["ab", "cde", "f", "ghijk", "lm", "nopq", "rst"]) + rnd.choice("xyz") for _ in range(n)] for n in (7, 10, 11, 19, 20, 21, 22, 29, 30, 32, 33, 39, 40, 43, 44, 60, 110) for _ in range(2)]
+    docs = []
+    for i in range(130):
+        x = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, len(x) // 10 + 2)):
+            at = rnd.randrange(len(x) + 1)
+            x[at : at + rnd.randint(0, 1)] = rnd.choice([[], ["new"], ["ändern"]])
+        docs.append((i, " ".join(x)))
+    docs.append((999, "lorem ipsum " * 5000))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=10, words=10).collect()}
+    first, links, near = {}, Counter(), set()
+    for i, t in docs:
+        first.setdefault(t, i)
+    names = [t for t in sorted(first, key=first.get) if first[t] != 999]
+    for p, a in enumerate(names):
+        for b in names[p + 1 :]:
+            x, y = a.split(" "), b.split(" ")
+            if (abs(len(x) - len(y)) <= 11 and edits(x, y) <= min(len(x), len(y)) // 10) or (abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1):
+                near.add(first[b])
+                links[first[a]] += 1
+                links[first[b]] += 1
+    assert len(near) > 20
+    for i, t in docs:
+        assert got[i].kept_lines == ([0] if first[t] == i and i not in near else []) and got[i].n_links == (links[i] if first[t] == i else 0)
+
+
 def test_line_dedup_odd_rows(spark):
     got = line_dedup.with_kept(line_dedup.dedup_lines(odd(spark).withColumn("n_lines", F.lit("clash")))).collect()
     assert len(got) == len(ODD) and line_dedup.dedup_lines(none(spark)).count() == 0
