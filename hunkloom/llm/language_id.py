@@ -20,7 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, segment_sum, text_blocks, with_fields
@@ -28,6 +28,9 @@ from .common import held_out, segment_sum, text_blocks, with_fields
 SYMBOLS = 64
 #: Bounds of the training sample: documents a language, and characters of a document to be eligible.
 MAX_DOCS, MAX_CHARS = 600, 200_000
+#: Texts of at least so many bytes, and so many of them a language, tell the range of its code lengths; that quantile of
+#: theirs, times the factor, is a bits-per-byte rate that a text may exceed by the slack (in bits, so short texts stay).
+RANGE_BYTES, RANGE_TEXTS, RANGE_QUANTILE, RANGE_FACTOR, SLACK_BITS = 200, 50, 0.99, 2.0, 400
 _READY: dict[str, tuple] = {}
 
 
@@ -127,6 +130,39 @@ def code_lengths(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return bits, sizes
 
 
+def rest_bits(model: dict, column: pa.Array) -> np.ndarray:
+    """Bits of each text for telling the bytes of the symbol that stands for all others apart; the same for all languages."""
+    out = np.zeros(len(column))
+    others = model["table"] == SYMBOLS - 1
+    each = np.log2(max(others.sum(), 1))
+    for block in text_blocks(column):
+        at = np.flatnonzero(others[block.data])
+        out[block.first : block.first + len(block)] = segment_sum(np.full(len(at), each), block.doc_of(at), len(block))
+    return out
+
+
+def rates(pairs: list[tuple[str, str]]) -> dict[str, float]:
+    """For each language with enough texts the bits a byte up to which a text counts as of it: learned from one half, measured on the other."""
+    pairs = sorted(pairs, key=lambda p: p[1])  # so that the halves share each language
+    model, tests = train(pairs[::2]), [(t, name) for t, name in pairs[1::2] if t and len(t.encode()) >= RANGE_BYTES]
+    if model is None or not tests:
+        return {}
+    column = pa.array([t for t, _ in tests])
+    bits, sizes = code_lengths(model, column)
+    rate = (bits.min(1) + rest_bits(model, column)) / sizes
+    names = np.array([name for _, name in tests], dtype=object)
+    return {name: float(np.quantile(rate[names == name], RANGE_QUANTILE) * RANGE_FACTOR) for name in model["langs"] if (names == name).sum() >= RANGE_TEXTS}
+
+
+def in_range(found: DataFrame, model: dict | None, text: str = "text") -> Column:
+    """Whether a row of `identify` is coded about as well as the texts its language was learned from; true where that range isn't known."""
+    ok = F.lit(True)
+    size = F.octet_length(F.col(text))
+    for name, rate in (model or {}).get("rates", {}).items():
+        ok = F.when(F.col("lang_pred") == name, F.col("bits_per_byte") * size <= rate * size + SLACK_BITS).otherwise(ok)
+    return F.coalesce(ok, F.lit(True))
+
+
 def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """The rows with lang_pred, score and bits_per_byte (of the best model)."""
     docs = docs.drop("lang_pred", "score", "bits_per_byte", "_letters")
@@ -146,14 +182,16 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
             least = bits.min(1) if len(bits) else np.zeros(0)
             posterior = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
             ok = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[np.where(ok, best, len(names) - 1)], pa.string()), pa.array(np.where(ok, posterior, 0.0)), pa.array(least / np.maximum(sizes, 1))], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[np.where(ok, best, len(names) - 1)], pa.string()), pa.array(np.where(ok, posterior, 0.0)), pa.array((least + rest_bits(m, batch.column(text))) / np.maximum(sizes, 1))], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
 
     return rows.mapInArrow(run, schema).drop("_letters")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict | None:
-    """Learn from the rows of `docs` that have a language and are not held out."""
-    return train(sample(docs, text, lang, key))
+    """Learn from the rows of `docs` that have a language and are not held out, with the range of their code lengths."""
+    pairs = sample(docs, text, lang, key)
+    model = train(pairs)
+    return model and model | {"rates": rates(pairs)}
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
