@@ -87,6 +87,9 @@ class Codec:
         self.at, self.length, self.count = (np.zeros(0, np.int64) for _ in range(3))
         self.again = np.zeros(0, bool)
         self.pool = np.zeros(0, np.uint8)
+        # and what its ids decode to
+        self.shown_at, self.shown_length = (np.zeros(0, np.int64) for _ in range(2))
+        self.shown_pool = np.zeros(0, np.uint8)
 
     def merge(self, unit: str) -> list[int]:
         """Ids of a unit whose blanks are already U+2581."""
@@ -121,7 +124,11 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the prefixed blank still in front."""
-        return b"".join([self.shown[i] for i in ids]).decode(errors="replace")
+        return self.decoded(ids).decode(errors="replace")
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """What ids decode to, as bytes: those of a unit may be a part of a character."""
+        return b"".join([self.shown[i] for i in ids])
 
     def merge_many(self, units: list[str]) -> list[str]:
         """The ids, joined by commas, of short units: row r of the matrices is unit r's agenda."""
@@ -195,7 +202,12 @@ class Codec:
         length = np.array([len(t) + 1 for t in text], np.int64)
         at = len(self.pool) + np.cumsum(length) - length
         self.pool = np.concatenate([self.pool, np.frombuffer((",".join(text) + ",").encode(), np.uint8)])
+        shown = [self.decoded([int(i) for i in t.split(",")]) for t in text]
+        shown_length = np.array([len(t) for t in shown], np.int64)
+        shown_at = len(self.shown_pool) + np.cumsum(shown_length) - shown_length
+        self.shown_pool = np.concatenate([self.shown_pool, np.frombuffer(b"".join(shown), np.uint8)])
         spot = np.searchsorted(self.keys, hashes)
+        self.shown_at, self.shown_length = np.insert(self.shown_at, spot, shown_at), np.insert(self.shown_length, spot, shown_length)
         self.keys, self.at, self.length = np.insert(self.keys, spot, hashes), np.insert(self.at, spot, at), np.insert(self.length, spot, length)
         self.count, self.again = np.insert(self.count, spot, [t.count(",") + 1 for t in text]), np.insert(self.again, spot, False)
 
@@ -203,14 +215,17 @@ class Codec:
         """Keep the units that were met again since the last time; none if those are too many."""
         keep = self.again if self.again.sum() < 2 * MAX_UNITS // 3 else np.zeros(len(self.again), bool)
         self.pool = self.pool[spans(self.at[keep], self.length[keep])]
+        self.shown_pool = self.shown_pool[spans(self.shown_at[keep], self.shown_length[keep])]
+        self.shown_length = self.shown_length[keep]
+        self.shown_at = np.cumsum(self.shown_length) - self.shown_length
         self.keys, self.length, self.count = self.keys[keep], self.length[keep], self.count[keep]
         self.at, self.again = np.cumsum(self.length) - self.length, np.zeros(len(self.keys), bool)
 
-    def encode_block(self, block: TextBlock) -> list[tuple[bytes, int]]:
-        """For each text of a block (a blank in front of each) its ids, joined by commas, and their number."""
+    def encode_block(self, block: TextBlock) -> list[tuple[bytes, int, bytes]]:
+        """For each text of a block (a blank in front of each) its ids, joined by commas, their number, and what they decode to."""
         data = block.data
         if not len(data):
-            return [(b"", 0)] * len(block)
+            return [(b"", 0, b"")] * len(block)
         blank, line = data == 32, data == 10
         start = line | blank
         start[1:] &= line[1:] | ~blank[:-1]
@@ -236,19 +251,22 @@ class Codec:
         doc = block.doc_of(s)
         ends = np.cumsum(segment_sum(length, doc, len(block))).tolist()
         counts = segment_sum(self.count[unit], doc, len(block)).tolist()
-        return [(out[a : max(a, b - 1)], n) for a, b, n in zip([0, *ends[:-1]], ends, counts, strict=True)]
+        length = self.shown_length[unit]
+        shown = self.shown_pool[spans(self.shown_at[unit], length)].tobytes()
+        shown_ends = np.cumsum(segment_sum(length, doc, len(block))).tolist()
+        return [(out[a : max(a, b - 1)], n, shown[c:d]) for a, b, n, c, d in zip([0, *ends[:-1]], ends, counts, [0, *shown_ends[:-1]], shown_ends, strict=True)]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, int, str]]:
         """For each whole text its ids, joined by commas, their number, and what they decode to.
 
-        `learn` has decoded each unit's ids to the unit, so all of them decode to the text with blanks.
+        Each unit's ids are decoded when it is learned, and a text's decoded units joined; the prefixed blank is taken off.
         """
         blanks = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), BLANK, " ")
         one, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
         front = pc.if_else(pc.equal(pc.binary_length(blanks), 0), none, pc.binary_join_element_wise(one, blanks, none))
         for block in text_blocks(front):
-            for k, (ids, n) in enumerate(self.encode_block(block)):
-                yield ids, n, blanks[block.first + k].as_py()
+            for ids, n, shown in self.encode_block(block):
+                yield ids, n, shown.removeprefix(b" ").decode(errors="replace")
 
     def check(self, text: str, ids: bytes, shown: str) -> None:
         """Hold one whole text against the library."""

@@ -343,6 +343,17 @@ def test_pieces_against_the_library(spark):
     assert pieces.encode_texts(none(spark), path).count() == 0
 
 
+def test_pieces_decode_the_ids():
+    codec = pieces.Codec(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    texts = pa.array(["alphabet", "über"])
+    list(codec.encode(texts))
+    for name in ("at", "length", "count", "shown_at", "shown_length"):  # as if the units' hashes were each other's
+        if hasattr(codec, name):
+            setattr(codec, name, getattr(codec, name)[::-1])
+    got = list(codec.encode(texts))
+    assert [shown for _, _, shown in got] == [codec.library.decode([int(i) for i in ids.split(b",")]) for ids, _, _ in got] == ["über", "alphabet"]
+
+
 # ---------------------------------------------------------------- Ogg
 
 
