@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, with_fields
+from .common import bound_batches, held_out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, max_rows: int, columns: list[str]) -> list:
-    """At most `max_rows` labelled rows that are not held out, by a hash of the key: columns + label.
+    """At most `max_rows` labelled rows that are not held out, one an id, by a hash of the key: columns + label.
 
-    The ids have the bound `max_rows`, so they are the side that is broadcast.
+    The ids have the bound `max_rows`, so they are the side that is broadcast; rows repeating an id are one before they reach the driver.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     ids = rows.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_label")).orderBy(F.xxhash64(key), key).limit(max_rows)
-    found = docs.select(key, *columns).join(F.broadcast(ids), key).select(key, *columns, "_label").collect()
-    return [tuple(r)[1:] for r in sorted(found, key=lambda r: (r[0], str(r[1])))]
+    found = docs.select(key, *columns).join(F.broadcast(ids), key).groupBy(key).agg(F.min(F.struct(*columns, "_label")).alias("_row")).select(key, "_row.*").collect()
+    return [tuple(r)[1:] for r in sorted(found, key=lambda r: r[0])]
 
 
 def best_threshold(margin: np.ndarray, label: np.ndarray) -> float:
@@ -52,13 +52,15 @@ def squash(margin: np.ndarray, cut: np.ndarray | float, scale: float, at: float)
 
 
 def score_rows(docs: DataFrame, model: dict, score: Callable[[dict, pa.Array], np.ndarray], text: str, threshold: float) -> DataFrame:
-    """The rows with score and predicted; the model is broadcast, its size is fixed."""
-    docs = docs.drop("score", "predicted")
+    """The rows with score and predicted; the model is broadcast, its size is fixed. Only texts go to Python and only scores come back."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(it):
-        for batch in it:
-            s = score(shared.value, batch.column(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(score(shared.value, column), pa.float64())
 
-    return docs.mapInArrow(run, with_fields(docs, "score double, predicted int"))
+    rows = docs.drop("score", "predicted") if text not in ("score", "predicted") else docs
+    rows = rows.withColumn("score", scored(F.col(text).cast("string")))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -10,8 +10,7 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes handled by one round of numpy passes; bounds a worker's memory at about 40 times this.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hunkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,16 +59,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of at most so many rows in what runs inside: workers then hold few whole texts at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+#: Bounds of an Arrow batch, in bytes (as Spark estimates them) and rows.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold few texts, so that a worker's memory doesn't follow the partition's."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(re.sub(r"\D", "", spark.conf.get(name)))
+        if not 0 < now <= most:
+            spark.conf.set(name, most)
 
 
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
@@ -80,12 +81,6 @@ def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nobody refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 # ---------------------------------------------------------------- texts as bytes
 
 _RNG = np.random.default_rng(20240607)

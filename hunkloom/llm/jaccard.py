@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBlock, components, cut, mix64, release, small_batches, text_blocks
+from .common import TextBlock, bound_batches, components, cut, mix64, text_blocks
 
 TOKEN_BITS, BLOCK_DOCS, BLOCK_BYTES = 52, 4096, 1 << 20
 #: Ratio of a size level's ends.
@@ -236,8 +236,8 @@ def _walk_groups(percent: int, n: int, by: list[str]):
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """For each row: the key, n_shingles, set_id (equal for equal sets) and component_id."""
-    with small_batches(docs.sparkSession):
-        return _classes(docs, key, text, n, percent)
+    bound_batches(docs.sparkSession)
+    return _classes(docs, key, text, n, percent)
 
 
 def _clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -288,7 +288,6 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     id_type = docs.schema["id"].dataType.simpleString()
     measured = cut(docs.mapInArrow(measure, f"id {id_type}, size long, fp long"), "sets")
     cluster = _clusters(docs, n, percent)
-    release(docs.sparkSession)
 
     first = measured.where("size > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("size").alias("size"))
     members = first.join(cluster.withColumnRenamed("node", "fp"), "fp")
@@ -296,7 +295,6 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     members = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     texts = docs.select(F.col("id").alias("own"), "text")
     members = cut(members.join(texts, members["id"].eqNullSafe(F.col("own"))).select("root", "part", "parts", "fp", "text"), "members")
-    release(docs.sparkSession)
     near = members.withColumn("label", F.col("fp")).select("root", "part", "fp", "label", "text").repartition("root", "part").sortWithinPartitions("root", "part")
     links = cut(near.mapInArrow(_walk_groups(percent, n, ["root", "part"]), "a long, b long"), "links")
 

@@ -1,155 +1,171 @@
 """Language identification by prediction by partial matching.
 
-For each language a variable-order model of bytes is learned from a bounded sample: context
-counts of order 3 down to 0 with escape probability d / (n + d) (d distinct followers of a
-context seen n times), below which all symbols cost the same. Bytes are first mapped to 64
-symbols: the 63 commonest of the sample, A-Z lower-cased, and one for all others. The statistics
-are frozen, so the exact code length of a symbol after its three predecessors is a table entry:
-sparse for four-symbol sequences seen in the sample, dense below. A text's language is the one
-whose model codes the whole text in the fewest bits; the score is that model's posterior.
+For each language a variable-order model of bytes is learned from a bounded sample: counts of the
+bytes after every context of ORDER down to 0 bytes, with escape probability d / (n + d) (d distinct
+followers of a context seen n times), below which all 256 bytes cost the same. The statistics are
+frozen, so the exact code length of a byte after a known context is a table entry, and that of an
+unknown one is its context's escape and the code length after the next shorter context. Tables are
+of the contexts and bytes that occur in the sample, in levels of hashed slots that hold their keys. A text's
+language is the one whose model codes the whole text in the fewest bits; the score is that model's posterior.
 
 Defined results: null texts and texts without a letter are `und` with score 0; equal code
 lengths go to the language that is first by code point; rows without a language, or held out by
-their doc_id, are not learned from; with nothing to learn from every text is `und`. Other
+their doc_id, are not learned from; with nothing to learn from every text is `und`. Texts of any length are coded whole. Other
 columns of the input are carried along, those named as an output are replaced, repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, segment_sum, text_blocks, with_fields
+from .common import bound_batches, held_out, segment_sum, text_blocks
 
-SYMBOLS = 64
+#: Bytes of the longest context.
+ORDER = 4
 #: Bounds of the training sample: documents a language, and characters of a document to be eligible.
 MAX_DOCS, MAX_CHARS = 600, 200_000
 #: Texts of at least so many bytes, and so many of them a language, tell the range of its code lengths; that quantile of
 #: theirs, times the factor, is a bits-per-byte rate that a text may exceed by the slack (in bits, so short texts stay).
 RANGE_BYTES, RANGE_TEXTS, RANGE_QUANTILE, RANGE_FACTOR, SLACK_BITS = 200, 50, 0.99, 2.0, 400
-_READY: dict[str, tuple] = {}
+_FREE = np.uint64(2**64 - 1)
+_BYTE = np.uint64(8)
+_READY: dict[str, list] = {}
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
-    """About `max_docs` (text, language) pairs a language, chosen by a hash of the key."""
+    """About `max_docs` (text, language) pairs a language, one an id, chosen by a hash of the key."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key) & (F.length(text) <= max_chars))
-    counts = rows.groupBy(lang).count().collect()
+    counts = rows.groupBy(lang).agg(F.approx_count_distinct(key)).collect()
     share = F.lit(0)
     for name, n in counts:
         share = F.when(F.col(lang) == name, F.lit(int(min(1.0, max_docs / n) * 2**30))).otherwise(share)
-    return [tuple(r) for r in rows.where(F.pmod(F.xxhash64(key), F.lit(2**30)) < share).select(text, lang).collect()]
+    rows = rows.where(F.pmod(F.xxhash64(key), F.lit(2**30)) < share)
+    return [(r.text, r.lang) for r in rows.groupBy(F.col(key)).agg(F.min(F.struct(F.col(text).alias("text"), F.col(lang).alias("lang"))).alias("_row")).select("_row.*").collect()]
 
 
-def _contexts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The 24-bit sequence (three predecessors, symbol) at each position; a text is preceded by blanks."""
-    key = symbols.astype(np.int32)
-    before = symbols
-    for shift in (6, 12, 18):
+def _mask(bytes_: int) -> np.uint64:
+    return np.uint64((1 << (8 * bytes_)) - 1)
+
+
+def _keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """At each position its byte, below the ORDER bytes before it; a text is preceded by blanks."""
+    key = data.astype(np.uint64)
+    before = data
+    for k in range(1, ORDER + 1):
         moved = np.empty_like(before)
         moved[1:] = before[:-1]
-        moved[starts] = 0
+        moved[starts] = 32
         before = moved
-        key |= before.astype(np.int32) << shift
+        key |= before.astype(np.uint64) << np.uint64(8 * k)
     return key
 
 
+def _slots(keys: np.ndarray, seed: int = 11) -> list[tuple]:
+    """Levels of (multiplier, shift, key by slot, row by slot); a key that finds its slot taken goes to the next level."""
+    rng, left, levels = np.random.default_rng(seed), np.arange(len(keys)), []
+    while len(left):
+        bits = max(4, (2 * len(left) - 1).bit_length())
+        by, down = np.uint64(rng.integers(1, 1 << 63)) * np.uint64(2) + np.uint64(1), np.uint64(64 - bits)
+        slot, first = np.unique((keys[left] * by) >> down, return_index=True)
+        held, row = np.full(1 << bits, _FREE), np.zeros(1 << bits, np.int32)
+        held[slot], row[slot] = keys[left[first]], left[first]
+        levels.append((by, down, held, row))
+        left = np.delete(left, first)
+    return levels
+
+
+def _find(levels: list[tuple], keys: np.ndarray) -> np.ndarray:
+    """The row of each key, -1 for those without one."""
+    out, left = np.full(len(keys), -1, np.int32), None
+    for by, down, held, row in levels:
+        own = keys if left is None else keys[left]
+        slot = ((own * by) >> down).astype(np.int64)
+        hit = held[slot] == own
+        if left is None:
+            out[hit] = row[slot[hit]]
+            left = np.flatnonzero(~hit)
+        else:
+            out[left[hit]] = row[slot[hit]]
+            left = left[~hit]
+        if not len(left):
+            break
+    return out
+
+
 def train(pairs: list[tuple[str, str]]) -> dict | None:
     """Code-length tables from (text, language) pairs; None without pairs."""
     pairs = [(t.encode(), name) for t, name in pairs if t]
     if not pairs:
         return None
     langs = sorted({name for _, name in pairs})
-    common = sum((np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t, _ in pairs), np.zeros(256, np.int64))
-    common[97:123] += common[65:91]
-    common[65:91] = 0
-    common[32] = common.sum() + 1  # the blank is symbol 0
-    table = np.full(256, SYMBOLS - 1, np.uint8)
-    order = [b for b in np.argsort(-common, kind="stable") if common[b]][: SYMBOLS - 1]
-    table[order] = np.arange(len(order))
-    table[65:91] = table[97:123]
-
-    grams = {}
+    whole = []
     for name in langs:
         texts = [np.frombuffer(t, np.uint8) for t, own in pairs if own == name]
-        starts = np.cumsum([0, *map(len, texts)])[:-1]
-        grams[name] = np.unique(_contexts(table[np.concatenate(texts)], starts), return_counts=True)
-    seen = np.unique(np.concatenate([k for k, _ in grams.values()]))
-    rows, dense, escapes = [], [], []
-    for name in langs:
-        keys, counts = grams[name]
-        lengths = np.full(1, np.log2(SYMBOLS))  # order -1: uniform
-        for order in range(4):
-            n = SYMBOLS**order
-            k = keys & (n * SYMBOLS - 1)
-            if order < 3:
-                c = np.bincount(k, counts, n * SYMBOLS).reshape(n, SYMBOLS)
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                known = total > 0
-                escape = np.where(known, -np.log2(np.where(known, kinds, 1) / np.where(known, total + kinds, 1)), 0)
-                below = np.tile(lengths.reshape(-1, SYMBOLS if order else 1), (SYMBOLS if order > 1 else 1, 1)) if order else np.full((1, SYMBOLS), lengths[0])
-                lengths = np.where(c > 0, -np.log2(np.where(c > 0, c, 1) / np.where(known, total + kinds, 1)), escape + below).reshape(-1)
-        context = keys >> 6
-        total = np.bincount(context, counts, SYMBOLS**3)
-        kinds = np.bincount(context, minlength=SYMBOLS**3)
-        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-        own = escape[seen >> 6] + lengths[seen & (SYMBOLS**3 - 1)]
-        own[np.searchsorted(seen, keys)] = -np.log2(counts / (total + kinds)[context])
-        rows.append(own)
-        dense.append(lengths.astype(np.float32))
-        escapes.append(escape.astype(np.float32))
-    return {"id": uuid.uuid4().hex, "langs": langs, "table": table, "seen": seen.astype(np.int32), "rows": np.array(rows, np.float32), "dense": np.array(dense), "escapes": np.array(escapes)}
+        whole.append(np.unique(_keys(np.concatenate(texts), np.cumsum([0, *map(len, texts)])[:-1]), return_counts=True))
+    orders, shorter, below = [], np.zeros(1, np.uint64), np.full((1, len(langs)), 8.0)  # under order 0, eight bits
+    for order in range(ORDER + 1):
+        grams = []
+        for keys, counts in whole:
+            own, back = np.unique(keys & _mask(order + 1), return_inverse=True)
+            grams.append((own, np.bincount(back, counts)))
+        seen = np.unique(np.concatenate([g for g, _ in grams]))
+        contexts = np.unique(seen >> _BYTE)
+        lower = below[np.searchsorted(shorter, seen & _mask(order))]  # a gram's shorter one is there as well
+        rows, escapes = np.empty((len(seen), len(langs))), np.empty((len(contexts), len(langs)))
+        for k, (own, counts) in enumerate(grams):
+            at = np.searchsorted(contexts, own >> _BYTE)
+            total, kinds = np.bincount(at, counts, len(contexts)), np.bincount(at, minlength=len(contexts))
+            escapes[:, k] = np.where(total > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
+            rows[:, k] = escapes[np.searchsorted(contexts, seen >> _BYTE), k] + lower[:, k]
+            rows[np.searchsorted(seen, own), k] = np.log2((total + kinds)[at]) - np.log2(counts)
+        shorter, below = seen, rows
+        orders.append({"seen": seen, "rows": rows.astype(np.float32), "contexts": contexts, "escapes": escapes.astype(np.float32)})
+    return {"id": uuid.uuid4().hex, "langs": langs, "orders": orders}
 
 
 def code_lengths(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each whole text under each language's model, and the texts' bytes."""
     if model["id"] not in _READY:
         _READY.clear()
-        at = np.zeros(SYMBOLS**4, np.int32)
-        at[model["seen"]] = np.arange(1, len(model["seen"]) + 1, dtype=np.int32)
-        _READY[model["id"]] = (at, [np.r_[0, r].astype(np.float64) for r in model["rows"]])
-    at, rows = _READY[model["id"]]
-    bits, sizes = np.zeros((len(column), len(rows))), np.zeros(len(column), np.int64)
+        _READY[model["id"]] = [(_slots(o["seen"]), _slots(o["contexts"])) for o in model["orders"]]
+    slots, langs = _READY[model["id"]], range(len(model["langs"]))
+    bits, sizes = np.zeros((len(column), len(langs))), np.zeros(len(column), np.int64)
     for block in text_blocks(column):
         n = len(block)
         sizes[block.first : block.first + n] = block.ends - block.starts
-        full = np.flatnonzero(block.starts < block.ends)
-        if not len(full):
-            continue
-        first = block.starts[full]
-        key = _contexts(model["table"][block.data], first)
-        found = at[key]
-        rare = np.flatnonzero(found == 0)
-        owner, known, context, low = block.doc_of(rare), found, key[rare] >> 6, key[rare] & (SYMBOLS**3 - 1)
-        for k, own in enumerate(rows):
-            bits[block.first + full, k] = np.add.reduceat(own[known], first)
-            bits[block.first : block.first + n, k] += segment_sum((model["escapes"][k][context] + model["dense"][k][low]).astype(np.float64), owner, n)
+        keys = _keys(block.data, block.starts[block.starts < block.ends])
+        own, at = bits[block.first : block.first + n], np.arange(len(keys))
+        for order in range(ORDER, -1, -1):  # positions whose byte is unknown after this context go on to the next
+            if not len(at):
+                break
+            tables, (grams, contexts) = model["orders"][order], slots[order]
+            row = _find(grams, keys & _mask(order + 1) if order < ORDER else keys)
+            known = row >= 0
+            doc, row, left = block.doc_of(at[known]), row[known], np.flatnonzero(~known)
+            at, keys = at[left], keys[left]
+            context = _find(contexts, (keys >> _BYTE) & _mask(order))
+            leaves = context >= 0
+            out, context = block.doc_of(at[leaves]), context[leaves]
+            for k in langs:
+                own[:, k] += segment_sum(tables["rows"][row, k].astype(np.float64), doc, n) + segment_sum(tables["escapes"][context, k].astype(np.float64), out, n)
+        own += 8.0 * np.bincount(block.doc_of(at), minlength=n)[:, None] if len(at) else 0
     return bits, sizes
 
 
-def rest_bits(model: dict, column: pa.Array) -> np.ndarray:
-    """Bits of each text for telling the bytes of the symbol that stands for all others apart; the same for all languages."""
-    out = np.zeros(len(column))
-    others = model["table"] == SYMBOLS - 1
-    each = np.log2(max(others.sum(), 1))
-    for block in text_blocks(column):
-        at = np.flatnonzero(others[block.data])
-        out[block.first : block.first + len(block)] = segment_sum(np.full(len(at), each), block.doc_of(at), len(block))
-    return out
-
-
 def rates(pairs: list[tuple[str, str]]) -> dict[str, float]:
     """For each language with enough texts the bits a byte up to which a text counts as of it: learned from one half, measured on the other."""
     pairs = sorted(pairs, key=lambda p: p[1])  # so that the halves share each language
     model, tests = train(pairs[::2]), [(t, name) for t, name in pairs[1::2] if t and len(t.encode()) >= RANGE_BYTES]
     if model is None or not tests:
         return {}
-    column = pa.array([t for t, _ in tests])
-    bits, sizes = code_lengths(model, column)
-    rate = (bits.min(1) + rest_bits(model, column)) / sizes
+    bits, sizes = code_lengths(model, pa.array([t for t, _ in tests]))
+    rate = bits.min(1) / sizes
     names = np.array([name for _, name in tests], dtype=object)
     return {name: float(np.quantile(rate[names == name], RANGE_QUANTILE) * RANGE_FACTOR) for name in model["langs"] if (names == name).sum() >= RANGE_TEXTS}
 
@@ -164,34 +180,34 @@ def in_range(found: DataFrame, model: dict | None, text: str = "text") -> Column
 
 
 def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """The rows with lang_pred, score and bits_per_byte (of the best model)."""
-    docs = docs.drop("lang_pred", "score", "bits_per_byte", "_letters")
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    """The rows with lang_pred, score and bits_per_byte (of the best model). Only texts go to Python and only results come back."""
+    new = ("lang_pred", "score", "bits_per_byte")
+    docs = docs.drop(*(c for c in new if c != text))
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("_letters", letters)
-    schema = with_fields(rows, "lang_pred string, score double, bits_per_byte double")
-
-    def run(it):
-        m = shared.value
-        names = np.array([*m["langs"], "und"], dtype=object)
-        for batch in it:
-            bits, sizes = code_lengths(m, batch.column(text))
-            best = bits.argmin(1) if len(bits) else np.zeros(0, np.int64)
-            least = bits.min(1) if len(bits) else np.zeros(0)
+
+    @F.arrow_udf("struct<lang_pred string, score double, bits_per_byte double>")
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = np.array(shared.value["langs"], dtype=object)
+        for column in columns:
+            bits, sizes = code_lengths(shared.value, column)
+            best, least = (bits.argmin(1), bits.min(1)) if len(bits) else (np.zeros(0, np.int64), np.zeros(0))
             posterior = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
-            ok = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[np.where(ok, best, len(names) - 1)], pa.string()), pa.array(np.where(ok, posterior, 0.0)), pa.array((least + rest_bits(m, batch.column(text))) / np.maximum(sizes, 1))], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(posterior, pa.float64()), pa.array(least / np.maximum(sizes, 1), pa.float64())], names=list(new))
 
-    return rows.mapInArrow(run, schema).drop("_letters")
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    rows = docs.withColumns({"_found": found(F.col(text).cast("string")), "_letters": letters})
+    out = {"lang_pred": F.when(F.col("_letters"), F.col("_found.lang_pred")).otherwise("und"), "score": F.when(F.col("_letters"), F.col("_found.score")).otherwise(0.0), "bits_per_byte": F.col("_found.bits_per_byte")}
+    return rows.withColumns(out).drop("_found", "_letters")
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict | None:
-    """Learn from the rows of `docs` that have a language and are not held out, with the range of their code lengths."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", ranges: bool = False) -> dict | None:
+    """Learn from the rows of `docs` that have a language and are not held out; with `ranges` also the range of their code lengths."""
     pairs = sample(docs, text, lang, key)
     model = train(pairs)
-    return model and model | {"rates": rates(pairs)}
+    return model and model | {"rates": rates(pairs) if ranges else {}}
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

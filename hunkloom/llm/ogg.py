@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import with_fields
+from .common import bound_batches, with_fields
 
 FRAME, RATE = 576, 8000
 #: Fixed values of the container format: capture pattern, header layout, flags.
@@ -161,6 +161,7 @@ def store(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
     """The rows with the file (`media`, if `keep`) of each text and what reading it back gives."""
     new = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep
     docs = docs.drop(*(c for c in [f.split()[0] for f in new.split(", ")] if c != text))
+    bound_batches(docs.sparkSession)
     schema = with_fields(docs, new)
 
     def run(it):

@@ -4,7 +4,7 @@ Adjacent symbols whose concatenation is a piece stand in an agenda ordered by th
 the leftmost first among equals; the best pair is merged until none is left, and symbols that
 are no piece fall back to their bytes. No piece of such a vocabulary holds a blank after another
 character, nor a line break, so a text is cut there into units whose merges can't touch each
-other. A worker remembers units in a table of bounded size, by a 64-bit hash; those of a block
+other. A worker remembers units in a table of bounded size (those of the block at hand come on top), by a 64-bit hash; those of a block
 of texts that it does not know are merged together, their agendas being the rows of one matrix.
 All units met for the first time are also encoded and decoded by the sentencepiece library, and
 so is the first whole text of each Arrow batch; any difference is an error.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBlock, segment_sum, text_blocks, with_fields
+from .common import TextBlock, bound_batches, segment_sum, text_blocks, with_fields
 
 BLANK = "▁"
 #: Units that a worker remembers at most, and bytes of a unit to be merged along with others at most.
@@ -197,8 +197,6 @@ class Codec:
             if self.decode(theirs[1:]) != text.replace(BLANK, " "):
                 raise ValueError(f"some of {part[:20]} are decoded in another way")
         text = [ids[u] for u in units]
-        if len(self.keys) + len(units) > MAX_UNITS:
-            self.forget()
         length = np.array([len(t) + 1 for t in text], np.int64)
         at = len(self.pool) + np.cumsum(length) - length
         self.pool = np.concatenate([self.pool, np.frombuffer((",".join(text) + ",").encode(), np.uint8)])
@@ -211,9 +209,10 @@ class Codec:
         self.keys, self.at, self.length = np.insert(self.keys, spot, hashes), np.insert(self.at, spot, at), np.insert(self.length, spot, length)
         self.count, self.again = np.insert(self.count, spot, [t.count(",") + 1 for t in text]), np.insert(self.again, spot, False)
 
-    def forget(self) -> None:
-        """Keep the units that were met again since the last time; none if those are too many."""
-        keep = self.again if self.again.sum() < 2 * MAX_UNITS // 3 else np.zeros(len(self.again), bool)
+    def forget(self, pinned: np.ndarray) -> None:
+        """Keep the units that were met again since the last time, unless those are too many; those at `pinned` stay in any case."""
+        keep = self.again.copy() if self.again.sum() < 2 * MAX_UNITS // 3 else np.zeros(len(self.again), bool)
+        keep[pinned] = True
         self.pool = self.pool[spans(self.at[keep], self.length[keep])]
         self.shown_pool = self.shown_pool[spans(self.shown_at[keep], self.shown_length[keep])]
         self.shown_length = self.shown_length[keep]
@@ -241,10 +240,10 @@ class Codec:
         self.again[spot[~new]] = True
         if new.any():
             raw = data.tobytes()
+            if len(self.keys) + new.sum() > MAX_UNITS:
+                self.forget(spot[~new])  # this block's units stay, so that none has to be learned twice
             self.learn(hashes[new], [raw[s[k] : e[k]].decode().replace(" ", BLANK) for k in first[new]])
-            spot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            if (self.keys[spot] != hashes).any():  # known ones were forgotten meanwhile
-                return self.encode_block(block)
+            spot = np.searchsorted(self.keys, hashes)
         unit = spot[back]
         length = self.length[unit]
         out = self.pool[spans(self.at[unit], length)].tobytes()
@@ -286,6 +285,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", keep: bool = T
     """The rows with n_tokens, ids_sha256, decoded_sha256 and, if `keep`, ids (array) and decoded (text)."""
     new = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     docs = docs.drop(*(c for c in new if c != text))
+    bound_batches(docs.sparkSession)
     schema = with_fields(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
 
     def run(it):

@@ -286,18 +286,19 @@ def test_labelled_sample_leaves_held_out_rows(spark):
     assert len(classify.labelled_sample(docs, labels, "toxic", "doc_id", 10, ["text"])) == 10
 
 
-def brute_bits(pairs, table, text, lang):
+def brute_bits(pairs, text, lang):
+    top = language_id.ORDER
     counts = defaultdict(Counter)
     for t, own in pairs:
         if own == lang and t:
-            s = [0, 0, 0, *table[np.frombuffer(t.encode(), np.uint8)].tolist()]
-            for i in range(3, len(s)):
-                for o in range(4):
-                    counts[tuple(s[i - o : i])][s[i]] += 1
-    s, bits = [0, 0, 0, *table[np.frombuffer(text.encode(), np.uint8)].tolist()], 0.0
-    for i in range(3, len(s)):
-        for o in (3, 2, 1, 0):
-            c = counts.get(tuple(s[i - o : i]))
+            s = b" " * top + t.encode()
+            for i in range(top, len(s)):
+                for o in range(top + 1):
+                    counts[s[i - o : i]][s[i]] += 1
+    s, bits = b" " * top + text.encode(), 0.0
+    for i in range(top, len(s)):
+        for o in range(top, -1, -1):
+            c = counts.get(s[i - o : i])
             if c:
                 n, d = sum(c.values()), len(c)
                 if s[i] in c:
@@ -305,25 +306,33 @@ def brute_bits(pairs, table, text, lang):
                     break
                 bits -= log2(d / (n + d))
         else:
-            bits += log2(64)
+            bits += 8
     return bits
 
 
 def test_language_id_code_lengths_and_odd_rows(spark):
-    pairs = [("the cat sat on the mat and the hat", "en"), ("le chat est là, où est-il été", "fr"), ("der Hund läuft über die Straße", "de"), ("", "en")] * 2
+    pairs = [("the cat sat on the mat and the hat", "en"), ("le chat est là, où est-il été", "fr"), ("der Hund läuft über die Straße", "de"), ("Погода была тёплой, дети гуляли у реки", "ru"), ("Времето беше топло и децата играеха", "bg"), ("今日は天気がいいから散歩しましょう", "ja"), ("今天天气很好我们去散步吧", "zh"), ("", "en")] * 2
     model = language_id.train(pairs)
-    tests = ["the dog", "où", "ß☃Q 9", "", "Straße und Hund " * 5]
+    tests = ["the dog", "où", "ß☃Q 9", "", "Straße und Hund " * 5, "дети и децата у реки", "天気は散歩", "今天去散步吧"]
     bits, sizes = language_id.code_lengths(model, pa.array(tests))
     for i, t in enumerate(tests):
         assert sizes[i] == len(t.encode())
         for k, lang in enumerate(model["langs"]):
-            assert bits[i, k] == pytest.approx(brute_bits(pairs, model["table"], t, lang), abs=1e-3)
+            assert bits[i, k] == pytest.approx(brute_bits(pairs, t, lang), abs=1e-3)
+    assert [model["langs"][k] for k in bits[5:].argmin(1)] == ["ru", "ja", "zh"]
     got = {r.doc_id: r for r in language_id.identify(odd(spark).withColumn("lang_pred", F.lit("clash")), model).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0 and got[4].lang_pred in model["langs"]
     assert language_id.identify(none(spark), model).count() == 0 and language_id.train([]) is None
     assert {r.lang_pred for r in language_id.identify(odd(spark), language_id.fit(none(spark))).collect()} == {"und"}
 
 
+def test_hashed_slots_find_all_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 20_000)).astype(np.uint64)
+    levels = language_id._slots(keys)
+    assert (language_id._find(levels, keys) == np.arange(len(keys))).all()
+    assert (language_id._find(levels, keys + np.uint64(1 << 41)) == -1).all()
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
@@ -336,13 +345,26 @@ def test_pieces_against_the_library(spark):
     for t, (ids, n, shown) in zip(texts, codec.encode(pa.array(texts)), strict=True):
         own = codec.library.encode(t or "")
         assert (ids.decode(), n, shown) == (",".join(map(str, own)), len(own), codec.library.decode(own))
-    codec.forget()
+    codec.forget(np.zeros(0, np.int64))
     assert not len(codec.keys) or codec.again.sum() == 0
     got = pieces.encode_texts(odd(spark).withColumn("ids", F.lit("clash")), path).collect()
     assert len(got) == len(ODD) and all(r.ids == codec.library.encode(t[1] or "") for r, t in zip(got, ODD, strict=True))
     assert pieces.encode_texts(none(spark), path).count() == 0
 
 
+def test_pieces_with_a_small_memory(monkeypatch):
+    codec = pieces.Codec(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    monkeypatch.setattr(pieces, "MAX_UNITS", 30)
+    rnd = random.Random(8)
+    names = [f"{rnd.choice('abcdefgh')}{i}x" for i in range(60)]
+    texts = [" ".join(names[i : i + 40]) for i in (0, 20, 5, 0, 20)] + [" ".join(rnd.choice(names) for _ in range(300)), " ".join(f"w{i}" for i in range(500))]
+    for t in texts:
+        ((ids, n, shown),) = codec.encode(pa.array([t]))
+        own = codec.library.encode(t)
+        assert (ids.decode(), n, shown) == (",".join(map(str, own)), len(own), t)
+    assert len(codec.keys) <= 30 + 500
+
+
 def test_pieces_decode_the_ids():
     codec = pieces.Codec(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
     texts = pa.array(["alphabet", "über"])
