@@ -74,82 +74,117 @@ def test_within_is_edit_distance(spark, k):
     rnd = random.Random(k)
     pairs = []
     for _ in range(600):
-        a = [rnd.choice("abé") for _ in range(rnd.randint(4, 14))]
+        a = [rnd.choice("abé") for _ in range(rnd.randint(0, 14))]
         b = list(a)
         for _ in range(rnd.randint(0, 4)):
             at = rnd.randrange(len(b) + 1)
             b[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "é"])
-        pairs.append(("".join(a), "".join(b) or "a"))
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within(F.col("a"), F.col("b"), k).alias("w")).collect()
+        pairs.append(tuple("".join(x) for x in sorted((a, b), key=len)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    words = [F.transform(F.split(c, ""), lambda x: F.xxhash64(x)) for c in "ab"]
+    characters, by_word = line_dedup.Characters(3, 8), line_dedup.Words(3, 8)
+    got = df.select("a", "b", line_dedup.within(characters, F.col("a"), F.col("b"), k).alias("w"), line_dedup.within(by_word, *words, k).alias("v")).collect()
     assert all(r.w == (edits(r.a, r.b) <= k) for r in got)
+    assert all(r.v == r.w for r in got if r.a and r.b)
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_line_dedup_against_brute_force(spark, k):
+def line_classes(docs, max_edits, edit_chars, max_words=0, edit_words=10):
+    """For each line that is not blank the first (doc, line) of its class, by comparing all pairs."""
+    first = {}
+    for i, t in docs:
+        for j, x in enumerate((t or "").split("\n") if t is not None else []):
+            if x.strip():
+                first.setdefault(x, (i, j))
+    names = sorted(first, key=first.get)
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p, a in enumerate(names):
+        for b in names[p + 1 :]:
+            k, n = min(max_edits, min(len(a), len(b)) // edit_chars), abs(len(a) - len(b))
+            near = k and n <= k and edits(a, b) <= k
+            if max_words and not near:
+                x, y = a.split(" "), b.split(" ")
+                k = min(max_words, min(len(x), len(y)) // edit_words)
+                near = k and abs(len(x) - len(y)) <= k and edits(x, y) <= k
+            if near:
+                u, v = sorted((find(a), find(b)), key=first.get)
+                root[v] = u
+    return {x: (first[x], first[find(x)]) for x in names}
+
+
+def check_lines(spark, docs, **options):
+    got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), **options)).collect()}
+    want, dropped = line_classes(docs, **{"max_edits": 2, "edit_chars": 10} | options), 0
+    for i, t in docs:
+        lines = t.split("\n")
+        kept = [j for j, x in enumerate(lines) if not x.strip() or want[x] == ((i, j), (i, j))]
+        near = [(j, *want[x][1]) for j, x in enumerate(lines) if x.strip() and want[x][0] == (i, j) != want[x][1]]
+        assert got[i].kept_lines == kept and got[i].kept_text == "\n".join(lines[j] for j in kept) and got[i].n_lines == len(lines)
+        assert list(zip(got[i].near_lines, got[i].near_ids, got[i].near_to, strict=True)) == near
+        dropped += len(near)
+    return dropped
+
+
+@pytest.mark.parametrize("k, most", [(1, 8), (2, 8), (2, 2), (3, 3)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, k, most):
+    monkeypatch.setattr(line_dedup, "MAX_LIST", most)
     rnd = random.Random(10 + k)
-    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(8, 40))) for _ in range(25)]
+    base = ["".join(rnd.choice("abcdefghé ") for _ in range(rnd.randint(0, 45))) for _ in range(30)] + ["x" * n for n in (9, 10, 11, 19, 20, 21, 33)]
     docs = []
-    for i in range(40):
+    for i in range(50):
         lines = []
-        for _ in range(rnd.randint(0, 6)):
+        for _ in range(rnd.randint(1, 7)):
             x = list(rnd.choice(base))
             for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
                 at = rnd.randrange(len(x) + 1)
                 x[at : at + rnd.randint(0, 1)] = rnd.choice(["", "q", "z"])
             lines.append("".join(x))
         docs.append((i, "\n".join(lines)))
-    got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), max_edits=k, min_chars=10)).collect()}
-    first, links, near = {}, Counter(), set()
-    for i, t in docs:
-        for j, x in enumerate(t.split("\n")):
-            if len(x) >= 10:
-                first.setdefault(x, (i, j))
-    names = sorted(first, key=first.get)
-    for p, a in enumerate(names):
-        for b in names[p + 1 :]:
-            if abs(len(a) - len(b)) <= k and edits(a, b) <= k:
-                near.add(first[b])
-                links[first[a][0]] += 1
-                links[first[b][0]] += 1
-    assert near
-    for i, t in docs:
-        kept = [j for j, x in enumerate(t.split("\n")) if len(x) < 10 or (first[x] == (i, j) and (i, j) not in near)]
-        assert got[i].kept_lines == kept and got[i].n_links == links[i] and got[i].kept_text == "\n".join(t.split("\n")[j] for j in kept)
+    assert check_lines(spark, docs, max_edits=k, edit_chars=5 if k > 1 else 8)
 
 
-def test_line_dedup_words_against_brute_force(spark):
+def test_line_dedup_words_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MAX_LIST", 4)
     rnd = random.Random(5)
-    base = [[rnd.choice(["ab", "cde", "f", "ghijk", "lm", "nopq", "rst"]) + rnd.choice("xyz") for _ in range(n)] for n in (7, 10, 11, 19, 20, 21, 22, 29, 30, 32, 33, 39, 40, 43, 44, 60, 110) for _ in range(2)]
+    base = [[rnd.choice(["ab", "cde", "f", "ghijk", "lm", "nopq", "rst"]) + rnd.choice("xyz") for _ in range(n)] for n in (7, 10, 11, 19, 20, 21, 22, 29, 30, 32, 33, 39, 40, 60, 110) for _ in range(2)]
     docs = []
     for i in range(130):
         x = list(rnd.choice(base))
-        for _ in range(rnd.randint(0, len(x) // 10 + 2)):
+        for _ in range(rnd.randint(0, 4)):
             at = rnd.randrange(len(x) + 1)
             x[at : at + rnd.randint(0, 1)] = rnd.choice([[], ["new"], ["ändern"]])
         docs.append((i, " ".join(x)))
     docs.append((999, "lorem ipsum " * 5000))
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=10, words=10).collect()}
-    first, links, near = {}, Counter(), set()
-    for i, t in docs:
-        first.setdefault(t, i)
-    names = [t for t in sorted(first, key=first.get) if first[t] != 999]
-    for p, a in enumerate(names):
-        for b in names[p + 1 :]:
-            x, y = a.split(" "), b.split(" ")
-            if (abs(len(x) - len(y)) <= 11 and edits(x, y) <= min(len(x), len(y)) // 10) or (abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1):
-                near.add(first[b])
-                links[first[a]] += 1
-                links[first[b]] += 1
-    assert len(near) > 20
-    for i, t in docs:
-        assert got[i].kept_lines == ([0] if first[t] == i and i not in near else []) and got[i].n_links == (links[i] if first[t] == i else 0)
+    assert check_lines(spark, docs, max_words=2)
+
+
+def test_line_dedup_large_groups_make_few_rows(spark):
+    rnd = random.Random(6)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(80))
+    near = [line[:40] + f"{i:04d}" + line[40:] for i in range(0, 3000, 3)]  # one class: numbers in a line
+    far = [line[:30] + "".join(rnd.choice("abcdefgh ") for _ in range(60)) for _ in range(1000)]  # a common beginning only
+    docs = spark.createDataFrame([(i, a + "\n" + b) for i, (a, b) in enumerate(zip(near, far, strict=True))], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(r.near_lines == ([0] if i else []) and r.kept_lines == ([1] if i else [0, 1]) for i, r in got.items())
 
 
 def test_line_dedup_odd_rows(spark):
-    got = line_dedup.with_kept(line_dedup.dedup_lines(odd(spark).withColumn("n_lines", F.lit("clash")))).collect()
-    assert len(got) == len(ODD) and line_dedup.dedup_lines(none(spark)).count() == 0
-    by = {r.doc_id: r for r in got}
-    assert by[1].n_lines == 0 and by[1].kept_text is None and by[2].kept_text == "" and by[4].kept_text == LONG
+    got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(odd(spark).withColumn("n_kept", F.lit("clash")).withColumn("h", F.lit(1)))).collect()}
+    assert got[1].n_lines == 0 and got[1].kept_text is None and got[1].h == 1
+    assert got[2].n_lines == 1 and got[2].kept_lines == [0] and got[3].kept_text == "   \n\t"
+    assert got[5].kept_text == "same text here" and got[None].kept_text == "no id" and got[4].kept_text == LONG
+    assert line_dedup.dedup_lines(none(spark)).count() == 0
+    line = "a line that many rows hold, over and over again"
+    rows = [(7, f"{line}\n{line}!\nIt.")] * 1000 + [(8, f"It.\nno\n{line}?")]
+    same = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "kept_lines", "near_lines", "near_ids", "near_to").count().collect()
+    assert sorted(map(tuple, same)) == [(7, [0, 2], [1], [7], [0], 1000), (8, [1], [2], [7], [0], 1)]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(none(spark), max_edits=0)
 
 
 # ---------------------------------------------------------------- Jaccard join
