@@ -81,9 +81,9 @@ def test_within_is_edit_distance(spark, k):
             b[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "é"])
         pairs.append(tuple("".join(x) for x in sorted((a, b), key=len)))
     df = spark.createDataFrame(pairs, "a string, b string")
-    words = [F.transform(F.split(c, ""), lambda x: F.xxhash64(x)) for c in "ab"]
+    df = df.selectExpr("*", *(f"transform(split({c}, ''), x -> xxhash64(x)) AS {c}_words" for c in "ab"))
     characters, by_word = line_dedup.Characters(3, 8), line_dedup.Words(3, 8)
-    got = df.select("a", "b", line_dedup.within(characters, F.col("a"), F.col("b"), k).alias("w"), line_dedup.within(by_word, *words, k).alias("v")).collect()
+    got = df.select("a", "b", F.expr(line_dedup.within(characters, "a", "b", k)).alias("w"), F.expr(line_dedup.within(by_word, "a_words", "b_words", k)).alias("v")).collect()
     assert all(r.w == (edits(r.a, r.b) <= k) for r in got)
     assert all(r.v == r.w for r in got if r.a and r.b)
 
