@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.derive import strip
+from ..functions.derive import lookup, strip
 
 # Pattern, title and rule of each kind of secret, in the order in which they are tried.
 SECRETS = [
@@ -115,6 +115,45 @@ def scan(files: DataFrame, bandit: DataFrame, semgrep: DataFrame, keys: list[str
     return scan_secrets(files, keys).select(columns).unionByName(parse_bandit(bandit, keys).select(columns)).unionByName(parse_semgrep(semgrep, keys).select(columns))
 
 
+def issues_for_file(issues: DataFrame, path: Column, by: str = "file_path") -> DataFrame:
+    """The issues of one file, or of the file that each row names."""
+    return issues.where(F.col(by) == path)
+
+
+# Rule sets of every scan and of a language's.
+RULESETS, LANGUAGE_RULESETS = ["p/security-audit", "p/secrets"], {"python": "p/python", "javascript": "p/javascript", "typescript": "p/javascript"}
+
+
+def rulesets(language: Column) -> Column:
+    own = lookup(language, LANGUAGE_RULESETS)
+    return F.array_compact(F.array(*map(F.lit, RULESETS), own))
+
+
+def scanners(paths: Column) -> Column:
+    """The scanners that run over files: one of them only where there is Python."""
+    return F.array_compact(F.array(F.lit("secrets"), F.when(has_python_files(paths), "bandit"), F.lit("semgrep")))
+
+
+def scan_by_language(files: DataFrame, bandit: DataFrame, semgrep: DataFrame, keys: list[str]) -> DataFrame:
+    """`scan`, with the output of the Python scanner only for groups of files that hold Python."""
+    python = files.where(F.col("filename").endswith(".py")).select(*keys).distinct()
+    return scan(files, bandit.join(python, keys, "left_semi"), semgrep, keys)
+
+
+def analyzers(language: Column, paths: Column) -> Column:
+    """The analyzers of a language: linter, type checker and tests (where there are any); others have none."""
+    python = F.array_compact(F.array(F.lit("ruff"), F.lit("mypy"), F.when(has_test_files(paths), "pytest")))
+    script = F.array_compact(F.array(F.lit("eslint"), F.when(F.array_contains(paths, "package.json"), "npm test")))
+    return F.when(language == "python", python).when(language.isin("javascript", "typescript"), script).otherwise(F.array().cast("array<string>"))
+
+
+def analyze(groups: DataFrame, ruff: DataFrame, mypy: DataFrame, eslint: DataFrame, keys: list[str]) -> DataFrame:
+    """Issues of groups of files (keys, language): only the output of their language's analyzers counts."""
+    python, script = groups.where("language = 'python'").select(*keys), groups.where("language IN ('javascript', 'typescript')").select(*keys)
+    parts = [parse_ruff(ruff.join(python, keys, "left_semi"), keys), parse_mypy(mypy.join(python, keys, "left_semi"), keys), parse_eslint(eslint.join(script, keys, "left_semi"), keys)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def lint_counts(issues: DataFrame, by: str) -> DataFrame:
     return issues.groupBy(by).agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Queries up to this number are broadcast; more are joined by a cartesian product.
-MAX_BROADCAST = 2000
+#: Blocks that the queries are gathered into.
+BLOCKS = 16
 
 
 def _fold(a: Column, b: Column) -> Column:
@@ -23,14 +23,21 @@ def cosine(a: Column, b: Column) -> Column:
     return _fold(a, b) / (F.sqrt(_fold(a, a)) * F.sqrt(_fold(b, b)))
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """The k best documents (id, embedding, ...) of each query (query_id, query): ties go to the smaller id."""
+def search(queries: DataFrame, docs: DataFrame, k: int, where: Column | None = None, by: str | None = None) -> DataFrame:
+    """The k best documents (id, embedding, ...) of each query (query_id, query): ties go to the smaller id. With `by`, only documents that have the query's value there.
+
+    Queries are gathered into BLOCKS rows, so a document is sent once a block and not once a query; nothing is counted beforehand.
+    """
     docs = docs if where is None else docs.where(where)
     normed = docs.withColumn("_norm", F.sqrt(_fold(F.col("embedding"), F.col("embedding"))))
-    asked = queries.select("query_id", "query", F.sqrt(_fold(F.col("query"), F.col("query"))).alias("_q"))
-    pairs = normed.crossJoin(F.broadcast(asked) if queries.count() <= MAX_BROADCAST else asked)
-    distance = 1 - _fold(F.col("query"), F.col("embedding")) / (F.col("_q") * F.col("_norm"))
-    pairs = pairs.withColumn("distance", distance).drop("_q", "_norm", "query")
+    asked = queries.select("query_id", "query", F.sqrt(_fold(F.col("query"), F.col("query"))).alias("_q"), *([by] if by else []))
+    group = [by] if by else []
+    blocks = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS))).groupBy("_block", *group).agg(F.collect_list(F.struct("query_id", "query", "_q")).alias("_asked"))
+    pairs = normed.join(blocks, by) if by else normed.crossJoin(blocks)
+    pairs = pairs.withColumn("_a", F.explode("_asked")).drop("_asked", "_block")
+    pairs = pairs.withColumn("query_id", F.col("_a.query_id"))
+    distance = 1 - _fold(F.col("_a.query"), F.col("embedding")) / (F.col("_a._q") * F.col("_norm"))
+    pairs = pairs.withColumn("distance", distance).drop("_a", "_norm")
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance")))
 
 

@@ -63,11 +63,6 @@ def _(spark, sf_dir):
     return security.blocking(fx.review_comments(spark, sf_dir), "review_id")
 
 
-@query("f10_issues_for_file", f"WITH {fx.COMMENTS_SQL} SELECT file_path, count(*) AS n FROM review_comments GROUP BY file_path")
-def _(spark, sf_dir):
-    return fx.review_comments(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("n"))
-
-
 @query("f16_file_kinds", f"WITH {fx.PR_FILES_SQL} SELECT pr_id, bool_or(suffix(filename, '.py')) AS has_python, bool_or(contains(lower(filename), 'test') OR contains(lower(filename), 'spec')) AS has_tests FROM pr_files GROUP BY pr_id")
 def _(spark, sf_dir):
     f = fx.pr_files(spark, sf_dir).groupBy("pr_id").agg(F.collect_list("filename").alias("paths"))

@@ -136,11 +136,6 @@ def _(spark, sf_dir):
     return fx.pr_files(spark, sf_dir).where(derive.reviewable(F.col("filename"), F.col("status"))).select("pr_id", "file_ord", "filename")
 
 
-@query("f02_fetchable", f"WITH {fx.PR_FILES_SQL} SELECT pr_id, file_ord FROM pr_files WHERE status <> 'removed' AND NOT (additions > 250) AND split_part(filename, '.', -1) NOT IN ('png', 'jpg', 'pdf')")
-def _(spark, sf_dir):
-    return fx.pr_files(spark, sf_dir).where((F.col("status") != "removed") & ~(F.col("additions") > 250) & ~derive.extension(F.col("filename")).isin("png", "jpg", "pdf")).select("pr_id", "file_ord")
-
-
 @query("f03_by_status", f"WITH {fx.PR_FILES_SQL} SELECT pr_id, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS deleted FROM pr_files GROUP BY pr_id")
 def _(spark, sf_dir):
     return fx.pr_files(spark, sf_dir).groupBy("pr_id").agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in (("modified", "modified"), ("added", "added"), ("removed", "deleted"))))

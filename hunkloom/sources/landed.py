@@ -25,6 +25,7 @@ DEFAULT_STANDARDS = [
     ("TEST-001", "New features should include tests", "New functionality should be accompanied by unit tests covering the happy path and key edge cases. Bug fixes should include a regression test.", "testing", "medium"),
     ("STYLE-001", "Use consistent naming conventions", "Follow the language's naming conventions: snake_case for Python, camelCase for JS/TS. Be descriptive and avoid single-letter names except in small loops.", "style", "low"),
 ]
+# The tables and their columns.
 TABLES = {
     "repositories": "id STRING, github_id BIGINT, full_name STRING, owner STRING, name STRING, installation_id BIGINT, default_branch STRING, is_active BOOLEAN, is_indexed BOOLEAN, indexed_commit_sha STRING, coding_standards_doc STRING, review_config STRING, total_reviews INT, created_at TIMESTAMP, updated_at TIMESTAMP",
     "reviews": "id STRING, repository_id STRING, pr_number INT, pr_title STRING, head_sha STRING, author STRING, status STRING, decision STRING, summary STRING, files_reviewed INT, lines_added INT, lines_deleted INT, duration_seconds DOUBLE, llm_tokens_used INT, github_review_id INT, error_message STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
@@ -65,6 +66,8 @@ class _Pages(DataSourceReader):
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(self.path)
+        if store.get_file_info(f"{top}/page-{partition.value}.json").type == fs.FileType.NotFound:
+            return  # after the last page
         with store.open_input_stream(f"{top}/page-{partition.value}.json") as f:
             for x in json.loads(f.read()):
                 yield x.get("filename"), x.get("status"), x.get("additions"), x.get("deletions"), x.get("patch"), x.get("previous_filename")
@@ -84,7 +87,7 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     """Landed file contents: base64 ones decoded as UTF-8 with replacement, others without a text."""
     c = spark.read.schema(CONTENT_SCHEMA).json(path)
     raw = F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64"))
-    return c.select("path", "size", F.when(F.col("encoding") == "base64", raw.cast("string")).alias("content"))
+    return c.select("path", "size", F.when(F.col("encoding") == "base64", F.make_valid_utf8(raw.cast("string"))).alias("content"))
 
 
 def tree(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +96,10 @@ def tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def standards_text(spark: SparkSession, path: str) -> DataFrame:
+    """The document as one row; none if there is no such file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "content string")
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
 
 
