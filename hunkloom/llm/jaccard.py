@@ -7,8 +7,9 @@ A document is the set of its word shingles (52-bit hashes). Two sets are linked
    position. Sets of linkable sizes differ in at most d elements, so with d + 1 blocks one block
    is equal, and (walking the ring of blocks from a suitable one) the next three differ in three
    elements at most. Index lists are keyed by (size level, block number, block content) and carry
-   a 64-bit parity map of the next three blocks: all other list entries are skipped unread, as
-   are frequent shingles and shared passages, which never fill a block by themselves. A list
+   a 64-bit parity map of the next three blocks: all other list entries are skipped unread. Blocks
+   of no element or one, which unrelated sets share by chance, are keyed by a quarter of the map as well
+   (four entries; of maps that differ in three bits one quarter is equal). A list
    is reduced to a spanning forest of its entries that pass, never to pairs.
 2. Answer level. Within a cluster (a component of what passed), the intersection sizes of one
    set with all others are counted once; those of a similar set are derived from them by the
@@ -116,23 +117,44 @@ def entries(bounds: np.ndarray, token: np.ndarray, sizes: np.ndarray, keep: np.n
         for k in (1, 2, 3):
             more = np.flatnonzero(blocks[owner] > k)
             ahead[more] ^= parity[base[owner[more]] + (number[more] + k) % blocks[owner[more]]]
-        yield key, members[owner], ahead
+        thin = np.diff(edge) < 2
+        yield key[~thin], members[owner[~thin]], ahead[~thin]
+        for k in range(4):  # a block of no element or one says little: its list is split by the maps, of which one quarter is equal
+            quarter = (ahead[thin] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+            yield mix64(key[thin] + (quarter * np.uint64(4) + np.uint64(k + 1)) * _M3), members[owner[thin]], ahead[thin]
 
 
 def forest(maps: np.ndarray) -> list[np.ndarray]:
-    """Components of entries whose parity maps differ in at most three bits, as index arrays."""
-    out, left = [], np.arange(len(maps))
-    while len(left):
-        part, wave, left = [left[:1]], left[:1], left[1:]
-        while len(wave) and len(left):
-            near = np.zeros(len(left), bool)
-            for x in maps[wave[:64]]:
-                near |= np.bitwise_count(maps[left] ^ x) <= 3
-            wave = np.r_[wave[64:], left[near]]
-            part.append(left[near])
-            left = left[~near]
-        out.append(np.concatenate(part))
-    return out
+    """Components of entries whose parity maps differ in at most three bits, as index arrays.
+
+    Of two such maps one quarter is equal, so entries are compared under equal quarters only.
+    """
+    root = np.arange(len(maps))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return int(x)
+
+    for k in range(4):
+        quarter = (maps >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        order = np.argsort(quarter, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(quarter[order]) != 0])
+        for a, b in zip(starts.tolist(), np.r_[starts[1:], len(maps)].tolist(), strict=True):
+            left = order[a:b]
+            while len(left) > 1:  # what is near the first one, then near that, until nothing is added
+                wave, left = left[:1], left[1:]
+                while len(wave) and len(left):
+                    near = np.zeros(len(left), bool)
+                    for x in wave[:64]:
+                        hit = np.bitwise_count(maps[left] ^ maps[x]) <= 3
+                        for y in left[hit & ~near].tolist():
+                            root[find(y)] = find(int(x))
+                        near |= hit
+                    wave, left = np.r_[wave[64:], left[near]], left[~near]
+    roots = np.array([find(x) for x in range(len(maps))])
+    order = np.argsort(roots, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
 
 
 def list_edges(keys: np.ndarray, ids: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

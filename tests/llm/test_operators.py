@@ -57,6 +57,29 @@ def test_mix_odd_rows(spark):
     assert emitted == sum(r.copies for r in got)
 
 
+def test_forest_is_the_components_of_near_maps():
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, 12).astype(np.uint64)
+    maps = np.array([base[i % 12] ^ np.uint64(sum(1 << int(b) for b in set(rnd.integers(0, 64, i % 5).tolist()))) for i in range(150)], np.uint64)
+    got = sorted(sorted(p.tolist()) for p in jaccard.forest(maps))
+    near = np.bitwise_count(maps[:, None] ^ maps[None]) <= 3
+    label = np.arange(len(maps))
+    for _ in range(150):
+        label = np.array([label[near[i]].min() for i in range(len(maps))])
+    assert got == sorted(sorted(np.flatnonzero(label == x).tolist()) for x in set(label.tolist()))
+
+
+def test_index_lists_of_unrelated_sets_stay_short():
+    rnd, longest = np.random.default_rng(4), {}
+    for n in (1000, 4000):
+        sizes = rnd.integers(30, 120, n)
+        bounds = np.r_[0, np.cumsum(sizes)]
+        token = np.concatenate([np.sort(rnd.integers(0, 1 << 52, k)).astype(np.uint64) for k in sizes])
+        lists = np.concatenate([k for k, _, _ in jaccard.entries(bounds, token, sizes, np.ones(n, bool), 80)])
+        longest[n] = np.unique(lists, return_counts=True)[1].max()
+    assert longest[4000] <= 25  # without the split: over 90
+
+
 # ---------------------------------------------------------------- line dedup
 
 
