@@ -142,7 +142,7 @@ def line_classes(docs, max_edits, edit_chars, max_words=0, edit_words=10):
 
 def check_lines(spark, docs, **options):
     got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), **options)).collect()}
-    want, dropped = line_classes(docs, **{"max_edits": 2, "edit_chars": 10} | options), 0
+    want, dropped = line_classes(docs, **{"max_edits": 1, "edit_chars": 10} | options), 0
     for i, t in docs:
         lines = t.split("\n")
         kept = [j for j, x in enumerate(lines) if not x.strip() or want[x] == ((i, j), (i, j))]
