@@ -23,6 +23,7 @@ from pyspark.sql.window import Window as W
 
 #: Salts of a size class.
 SALTS = 64
+_OWN = {"_none", "_source", "_bin", "_before", "_shift", "_each", "_rank", "_tie"}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,7 +52,10 @@ def targets(per_source: DataFrame, weights: tuple[float, ...], cap: float) -> Da
 
 def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 1) -> DataFrame:
     """All rows with size, source_size, target and copies (how often the mix takes the row)."""
-    df = df.drop("size", "source_size", "target", "copies")
+    df = df.drop(*(c for c in ("size", "source_size", "target", "copies") if c not in (source, text, key)))
+    aside = {c: f"_carried_{i}" for i, c in enumerate(df.columns) if c.lower() in _OWN}  # columns that have a name used below
+    df = df.withColumnsRenamed(aside)
+    source, text, key = (aside.get(c, c) for c in (source, text, key))
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     bits = F.length(F.bin("size"))
     rows = df.withColumn("size", size).withColumn("_none", F.col(source).isNull()).withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
@@ -71,12 +75,13 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     out = rows.join(starts, at).withColumn("_rank", rank)
     crossed = lambda k: F.floor(k * F.col("_each") + F.col("_shift"))
     out = out.withColumn("copies", (crossed(F.col("_rank")) - crossed(F.col("_rank") - 1)).cast("long"))
-    return out.drop("_none", "_source", "_bin", "_before", "_shift", "_each", "_rank", "_tie")
+    return out.drop("_none", "_source", "_bin", "_before", "_shift", "_each", "_rank", "_tie").withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*columns)
+    packed = mixed.where("copies > 0").select(F.struct(*columns).alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return packed.select("row.*")
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

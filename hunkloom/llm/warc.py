@@ -213,7 +213,9 @@ class Reader:
 
 def lookup(keys: DataFrame, folder: str, files: list[tuple[str, str]], payloads: bool = True) -> DataFrame:
     """The records of all captures of the distinct values of `key`, which are sorted so that a task meets each block once."""
-    order = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    # keys are small and each is a read, so their number of tasks isn't left to their size
+    parts = max(2 * len(files), int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = keys.select("key").distinct().repartitionByRange(parts, "key").sortWithinPartitions("key")
     names = [f.split()[0] for f in _FOUND.split(", ")][: 7 if payloads else 6]
     schema = ", ".join(_FOUND.split(", ")[: len(names)])
     kinds = dict(zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()], strict=False))

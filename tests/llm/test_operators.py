@@ -53,6 +53,8 @@ def test_mix_odd_rows(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == len(ODD) and mixing.mix(none(spark)).count() == 0
     assert mixing.mix(odd(spark).withColumn("size", F.lit("clash"))).where("doc_id = 1").first()["size"] == 0
+    clash = mixing.mix(odd(spark).withColumns({c: F.lit(c) for c in mixing._OWN})).collect()
+    assert all(r[c] == c for r in clash for c in mixing._OWN) and sorted(r.copies for r in clash) == sorted(r.copies for r in got)
     emitted = mixing.emit(mixing.mix(odd(spark)), ["doc_id"]).count()
     assert emitted == sum(r.copies for r in got)
 
