@@ -393,6 +393,57 @@ def test_hashed_slots_find_all_keys():
     assert (language_id._find(levels, keys + np.uint64(1 << 41)) == -1).all()
 
 
+# ---------------------------------------------------------------- classifiers, naively
+
+
+def little_texts(n):
+    rnd = random.Random(12)
+    words = "the a cat dog sees likes house tree über green".split()
+    rows = []
+    for i in range(n):
+        bad = i % 3 == 0
+        t = [rnd.choice(words) for _ in range(rnd.randint(1, 30))]
+        if bad:
+            at = rnd.randrange(len(t) + 1)
+            t[at:at] = ["you", rnd.choice(["fool", "idiots!"])]
+        rows.append((" ".join(t), "en" if i % 2 else "de", int(bad)))
+    return rows
+
+
+def test_toxicity_margins_against_a_naive_convolution():
+    rows = little_texts(400)
+    model = toxicity.train(rows, rounds=2)
+    texts = [t for t, _, _ in rows[:40]] + ["", None, "you fool", "word " * 500]
+    got, _ = toxicity.margins(model, pa.array(texts))
+    for t, margin in zip(texts, got, strict=True):
+        block = next(common.text_blocks(pa.array([t], pa.string())))
+        word, prefix, _, windows = toxicity.tokens(block)
+        own = [(int(model["index"][0][w]), int(model["index"][1][x])) for w, x in zip(word, prefix, strict=True)]
+        assert windows[0] == len((t or "").split()) + 1
+        pooled = []
+        for table, bias in zip(model["tables"], model["bias"], strict=True):
+            for f in range(toxicity.FILTERS):
+                values = [sum(float(table[i, k, f]) for k in range(table.shape[1]) if at + k < len(own) for i in own[at + k]) for at in range(int(windows[0]))]
+                pooled.append(max(0.0, max(values) + float(bias[f])))
+        assert margin == pytest.approx(sum(p * w for p, w in zip(pooled, model["out"], strict=True)) + model["out_bias"], abs=1e-3)
+
+
+def test_quality_scores_and_dual_solution_naively():
+    rows = [(t, y) for t, _, y in little_texts(240)]
+    model = quality.train(rows, rounds=40)
+    texts = [t for t, _ in rows[:40]] + ["", None, "you fool " * 30]
+    got = quality.score(model, pa.array(texts))
+    margins = []
+    for t in texts:
+        _, bucket = quality.features(next(common.text_blocks(pa.array([t], pa.string()))))
+        size = sum(float(model["r2"][b]) for b in bucket.tolist())
+        margins.append(model["bias"] + sum(float(model["w"][b]) for b in bucket.tolist()) / (size**0.5 or 1.0))
+    want = classify.squash(np.array(margins), model["cut"], model["scale"], quality.THRESHOLD)
+    assert np.allclose(got, want, atol=1e-4) and ((0 <= got) & (got <= 1)).all()
+    labels = np.array([y for _, y in rows])
+    assert ((quality.score(model, pa.array([t for t, _ in rows])) >= quality.THRESHOLD) == (labels == 1)).mean() > 0.97
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
