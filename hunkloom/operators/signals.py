@@ -110,19 +110,28 @@ def level(score: Column) -> Column:
     return out.otherwise("low")
 
 
-def scores(prs: DataFrame, found: DataFrame) -> DataFrame:
-    """Score, level and recommendations of every PR, with signals or without. Sums are of decimals, so order plays no part."""
+def _weighted() -> Column:
+    """A signal's weight times its confidence; of decimals, so that the order of a sum plays no part."""
     weight = F.lit(None).cast("decimal(6,4)")
     for name, value in WEIGHTS.items():
         weight = F.when(F.col("risk_level") == name, F.lit(value).cast("decimal(6,4)")).otherwise(weight)
-    each = found.groupBy("pr_id").agg(F.sum(weight * F.col("confidence").cast("decimal(6,4)")).cast("double").alias("total"), F.count("*").alias("n"), F.collect_set("signal_type").alias("types"), F.bool_or(F.col("risk_level") == "critical").alias("critical"))
+    return weight * F.col("confidence").cast("decimal(6,4)")
+
+
+def scores(prs: DataFrame, found: DataFrame) -> DataFrame:
+    """Score, level and recommendations of every PR, with signals or without."""
+    each = found.groupBy("pr_id").agg(F.sum(_weighted()).cast("double").alias("total"), F.count("*").alias("n"), F.collect_set("signal_type").alias("types"), F.bool_or(F.col("risk_level") == "critical").alias("critical"))
+    return _scored(prs, each)
+
+
+def _scored(prs: DataFrame, each: DataFrame, *more: str) -> DataFrame:
     out = prs.select("pr_id").distinct().join(each, "pr_id", "left")
     n = F.coalesce("n", F.lit(0))
     score = F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.col("total") / n * (0.5 + 0.5 * F.least(F.lit(1.0), n / 5.0))))
     out = out.withColumn("risk_score", score).withColumn("risk_level", level(F.col("risk_score")))
     advice = F.filter(F.array(*(F.when(F.array_contains("types", name), F.lit(text)) for name, text in ADVICE)), lambda x: x.isNotNull())
     none = F.when(F.col("risk_score") < 0.2, F.array(F.lit(NO_ADVICE))).otherwise(F.array().cast("array<string>"))
-    return out.select("pr_id", "risk_score", "risk_level", n.alias("n_signals"), F.when(F.size(advice) > 0, advice).otherwise(none).alias("recommendations"), F.coalesce("critical", F.lit(False)).alias("has_critical"))
+    return out.select("pr_id", "risk_score", "risk_level", n.alias("n_signals"), F.when(F.size(advice) > 0, advice).otherwise(none).alias("recommendations"), F.coalesce("critical", F.lit(False)).alias("has_critical"), *more)
 
 
 def risky_files(found: DataFrame, limit: int = 10) -> DataFrame:
@@ -136,8 +145,11 @@ def level_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("pr_id", "risk_level").agg(F.count("*").alias("n"))
 
 
-def predict(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Score, level and ranked risky files of each PR."""
-    found = signals(files, lines)
-    ranked = risky_files(found).groupBy("pr_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "filename"))), lambda x: x["filename"]).alias("high_risk_files"))
-    return scores(files, found).join(ranked, "pr_id", "left").withColumn("high_risk_files", F.coalesce("high_risk_files", F.array().cast("array<string>")))
+def predict(files: DataFrame, lines: DataFrame, limit: int = 10) -> DataFrame:
+    """Score, level and ranked risky files of each PR: signals are found once, gathered by file and then by PR."""
+    confidence = F.sum(F.col("confidence").cast("decimal(6,4)")).cast("double")
+    by_file = signals(files, lines).groupBy("pr_id", "filename").agg(F.sum(_weighted()).alias("w"), F.count("*").alias("k"), F.collect_set("signal_type").alias("t"), F.bool_or(F.col("risk_level") == "critical").alias("c"), (-confidence).alias("score"), F.min("signal_ord").alias("first"))
+    file = F.when(F.col("filename") != "(entire PR)", F.struct("score", "first", "filename"))
+    each = by_file.groupBy("pr_id").agg(F.sum("w").cast("double").alias("total"), F.sum("k").alias("n"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("types"), F.bool_or("c").alias("critical"), F.slice(F.array_sort(F.collect_list(file)), 1, limit).alias("ranked"))
+    out = _scored(files, each, "ranked")
+    return out.withColumn("high_risk_files", F.coalesce(F.transform("ranked", lambda x: x["filename"]), F.array().cast("array<string>"))).drop("ranked")
