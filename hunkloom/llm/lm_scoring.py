@@ -10,16 +10,15 @@ is passed by at no cost. As
 the followers of a context are a subset of its shorter one's, what is excluded follows from the two neighbouring levels
 alone, so with frozen counts each probability is a number of a trie's edge.
 
-Nothing of the trie is broadcast or bounded by sampling. Texts are dealt into blocks of about BLOCK_BYTES;
-a block sends each of its distinct edges and words once, with their counts in its training
-texts. Levels of the trie are tables of all edges that occur in any text: sums by edge, windows over a context's
-followers (257 at most), and a join with the level below. What is known of an edge or word goes back to the blocks that
-asked for it, which then add up their texts' symbols and tokens.
+Nothing of the trie is broadcast or bounded by sampling. Each task cuts its rows into blocks of about BLOCK_BYTES of
+text; a block is written once with its texts packed, and with its distinct edges and words and their counts in its
+training texts, packed by bucket of their keys. Counts are summed by bucket. Levels of the trie are tables of all edges that occur in any
+text: sums by edge, windows over a context's followers (257 at most), and a join with the level below. What is known
+of a bucket's edges and words goes back to the blocks that asked for them, which then add up their texts' symbols and tokens.
 
 Defined results: null texts are empty and consist of the end alone; with nothing to learn from, all symbols are
 equally likely and all tokens cost nothing; texts of any length are scored whole and count whole; rows
-without an id are learned from; only the two columns named are read; repeated rows count each and get equal results (those equal in id and
-text share a block); an empty table gives no rows. Words are known by 64-bit hashes.
+without an id are learned from; only the two columns named are read; repeated rows count each and get equal results; an empty table gives no rows. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,11 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import _LOWER, TextBlock, cut, text_blocks
+from .common import _LOWER, TextBlock, bound_batches, cut, text_blocks
 from .language_id import _find, _slots
 
 #: Bytes of the longest context, and of a block of texts.
-ORDER, BLOCK_BYTES = 5, 16 << 20
+ORDER, BLOCK_BYTES = 5, 24 << 20
+#: Buckets of keys (a power of two): what a task sums at once is this share of the corpus' edges and words.
+BUCKETS = 256
+_ZSTD = pa.Codec("zstd", compression_level=1)
 #: The byte that stands before a text, the symbol of its end, and the number of symbols.
 BEFORE, END, SYMBOLS = 10, 256, 257
 #: What a context takes off the count of each follower for what has not followed it.
@@ -69,9 +71,9 @@ def edges(block: TextBlock, order: int) -> tuple[np.ndarray, np.ndarray]:
     return (context << bits) | data.astype(np.uint64), (last << bits) | np.uint64(END)
 
 
-def _parts(table: pa.Table, order: int) -> Iterator[tuple]:
-    """Blocks of about a megabyte: their first text, keys of symbols and words, and the texts these are of."""
-    for block in text_blocks(table.column("text")):
+def _parts(column: pa.Array, order: int) -> Iterator[tuple]:
+    """Blocks of about a megabyte: their first text, their number of texts, keys of symbols and words, and the texts these are of."""
+    for block in text_blocks(column):
         n = len(block)
         inside, ends = edges(block, order)
         s, e, owner = block.words()
@@ -81,28 +83,115 @@ def _parts(table: pa.Table, order: int) -> Iterator[tuple]:
         yield block.first, n, (symbols, of), (words, np.concatenate([owner, texts]))
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers (uint64) by planes of their bytes, compressed: the high bytes of small ones cost nothing."""
+    return _ZSTD.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
 
-def asked(docs: DataFrame, order: int) -> DataFrame:
-    """Of docs (block, held_out, text): block, word, key, n: a block's distinct edges and words, counted in its training texts."""
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.uint64)
+
+
+def _keys_of(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(packed, n), dtype=np.uint64)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    high = keys >> np.uint64(_SYMBOL_BITS)
+    return (high ^ (high >> np.uint64(11)) ^ (high >> np.uint64(22)) ^ (high >> np.uint64(33))) & np.uint64(buckets - 1)
+
+
+def _bucket_column(key: str, buckets: int) -> Column:
+    """The same in the JVM; a context's followers share a bucket."""
+    high = F.shiftrightunsigned(F.col(key), _SYMBOL_BITS)
+    mixed = high
+    for by in (11, 22, 33):
+        mixed = mixed.bitwiseXOR(F.shiftrightunsigned(high, by))
+    return mixed.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+_PACKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+#: Kinds of packed rows: a block's texts, its edges, its words.
+TEXTS, EDGES, WORDS = 0, 1, 2
+
+
+def packed(docs: DataFrame, order: int, block_bytes: int, buckets: int) -> DataFrame:
+    """Of docs (doc_id, held_out, text): a row a block with its texts, and one for each bucket of its distinct edges and words."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for batch in batches:
+            if size and size + batch.nbytes > block_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        for number, table in enumerate(blocks(b for b in batches if b.num_rows)):
+            block = (TaskContext.get().partitionId() << 32) + number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            rows = [(block, TEXTS, 0, table.num_rows, sink.getvalue().to_pybytes(), b"")]
+            learned, found = ~table.column("held_out").to_numpy(), ([], [])
+            for first, n, *kinds in _parts(table.column("text"), order):
+                for out, (keys, of) in zip(found, kinds, strict=True):
+                    names, back = np.unique(keys, return_inverse=True)
+                    out.append((names, np.bincount(back, learned[first : first + n][of], len(names))))
+            for kind, parts in zip((EDGES, WORDS), found, strict=True):
+                keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.uint64)
+                bucket = _bucket(keys, buckets)
+                at = np.argsort(bucket, kind="stable")
+                edge = np.searchsorted(bucket[at], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(edge)):
+                    own = at[edge[b] : edge[b + 1]]
+                    rows.append((block, kind, int(b), len(own), _pack(np.diff(keys[own], prepend=np.uint64(0))), _pack(counts[own])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PACKED)], schema=_PACKED)
+
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(run, "block long, kind int, bucket int, n long, keys binary, counts binary")
+
+
+def summed(asked: DataFrame) -> DataFrame:
+    """kind, key, n: the counts of all blocks' edges and words."""
 
     def run(table: pa.Table) -> pa.Table:
-        found = ([], [])
-        learned = ~table.column("held_out").to_numpy()
-        for first, n, *kinds in _parts(table, order):
-            for out, (keys, of) in zip(found, kinds, strict=True):
-                names, back = np.unique(keys, return_inverse=True)
-                out.append((names, np.bincount(back, learned[first : first + n][of], len(names))))
-        merged = [_merged(parts) for parts in found if parts]
-        keys, counts = (np.concatenate([m[i] for m in merged]) for i in (0, 1))
-        word = np.repeat(np.arange(len(merged)) == 1, [len(m[0]) for m in merged])
-        block = np.full(len(keys), table.column("block")[0].as_py(), np.int32)
-        return pa.table({"block": block, "word": pa.array(word), "key": keys.view(np.int64), "n": counts})
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        held, size = [], 0
+        for n, k, c in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
+            held.append((_keys_of(k, n), _unpack(c, n)))
+            size += n
+            if size > 1 << 20:
+                keys, counts = merge([(keys, counts), *held])
+                held, size = [], 0
+        keys, counts = merge([(keys, counts), *held])
+        return pa.table({"kind": np.full(len(keys), table.column("kind")[0].as_py(), np.int32), "key": keys.view(np.int64), "n": counts.view(np.int64)})
+
+    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        names, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return names, np.bincount(back, np.concatenate([c for _, c in parts]).astype(np.float64), len(names)).astype(np.uint64)
 
-    return docs.groupBy("block").applyInArrow(run, "block int, word boolean, key long, n long")
+    return asked.groupBy("kind", "bucket").applyInArrow(run, "kind int, key long, n long")
+
+
+def answered(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of `asked` with what `known` (kind, bucket, key, value) has of their keys: block, kind, n, keys, found."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, values = right.column("key").to_numpy().view(np.uint64), right.column("value").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [_pack(values[np.searchsorted(keys, _keys_of(k, n))].view(np.uint64)) for n, k in zip(left.column("n").to_pylist(), left.column("keys").to_pylist(), strict=True)]
+        return pa.table({"block": left.column("block"), "kind": left.column("kind"), "n": left.column("n"), "keys": left.column("keys"), "found": pa.array(found, pa.binary())})
+
+    return asked.groupBy("kind", "bucket").cogroup(known.groupBy("kind", "bucket")).applyInArrow(run, "block long, kind int, n long, keys binary, found binary")
 
 
 def trie(grams: DataFrame, order: int) -> DataFrame:
@@ -139,41 +228,46 @@ def trie(grams: DataFrame, order: int) -> DataFrame:
     return level.select("key", "score")
 
 
-def _score(order: int, train_tokens: int):
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        word = known.column("word").to_numpy()
-        keys, values, seen = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy(), known.column("seen").to_numpy()
-        tables = [(_slots(keys[own]), values[own], seen[own]) for own in (~word, word)]
+def _score(order: int, tokens_learned: int, words_learned: int):
+    smooth = tokens_learned + 0.5 * (words_learned + 1)
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        docs = pa.ipc.open_stream(texts.column("keys")[0].as_buffer()).read_all()
+        rows = list(zip(*(known.column(c).to_pylist() for c in ("kind", "n", "keys", "found")), strict=True))
+        tables = []
+        for kind in (EDGES, WORDS):
+            own = [(_keys_of(k, n), _unpack(f, n).view(np.float64)) for of, n, k, f in rows if of == kind]
+            keys, values = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+            tables.append((_slots(keys), np.log10((values + 0.5) / smooth) if kind == WORDS else values, values > 0))
         score, base, tokens, met = (np.zeros(docs.num_rows, t) for t in (float, float, np.int64, np.int64))
-        for first, n, *kinds in _parts(docs, order):
+        for first, n, *kinds in _parts(docs.column("text"), order):
             rows = slice(first, first + n)
             for (levels, value, have), (asked_for, of), out in zip(tables, kinds, (score, base), strict=True):
                 at = _find(levels, asked_for)
                 out[rows] = np.bincount(of, value[at], n)
                 if out is base:
                     tokens[rows], met[rows] = np.bincount(of, minlength=n), np.bincount(of, have[at], n)
-        columns = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": tokens, "n_known": met, "train_tokens": np.full(len(tokens), train_tokens, np.int64), "base_score": base, "score": score}
+        columns = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": tokens, "n_known": met, "train_tokens": np.full(len(tokens), tokens_learned, np.int64), "base_score": base, "score": score}
         return pa.table(columns)
 
     return run
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """doc_id (`key`), held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams of words) and score (the trie's) of each row."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    blocks = -(-size // block_bytes) + 1
-    dealt = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int")
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held_out(F.col(key)).alias("held_out"), dealt.alias("block"))
-    sent = cut(asked(rows.select("block", "held_out", "text"), order), "asked")
-    of = cut(sent.groupBy("word", "key").agg(F.sum("n").alias("n")), "counts")
-    words = of.where("word").select("key", "n")
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held_out(F.col(key)).alias("held_out"))
+    blocks = cut(packed(rows, order, block_bytes, buckets), "blocks")
+    asked = blocks.where(F.col("kind") != TEXTS)
+    counts = cut(summed(asked), "counts")
+    words = counts.where(F.col("kind") == WORDS)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    value = F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    words = words.select(F.lit(True).alias("word"), "key", value.alias("value"), (F.col("n") > 0).alias("seen"))
-    grams = trie(of.where("not word").select("key", "n"), order).select(F.lit(False).alias("word"), "key", F.col("score").alias("value"), F.lit(True).alias("seen"))
-    answers = sent.select("block", "word", "key").join(grams.unionByName(words), ["word", "key"]).select("block", "word", "key", "value", "seen")
+    words = words.select("kind", "key", F.col("n").cast("double").alias("value"))
+    grams = trie(counts.where(F.col("kind") == EDGES).select("key", "n"), order).select(F.lit(EDGES).alias("kind"), "key", F.col("score").cast("float").cast("double").alias("value"))
+    known = grams.unionByName(words).withColumn("bucket", _bucket_column("key", buckets))
+    answers = answered(asked.select("block", "kind", "bucket", "n", "keys"), known)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, n), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = blocks.where(F.col("kind") == TEXTS).select("block", "keys")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, n, v), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
