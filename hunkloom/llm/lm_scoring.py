@@ -35,7 +35,9 @@ from .common import _LOWER, TextBlock, bound_batches, cut, text_blocks
 from .language_id import _find, _slots
 
 #: Bytes of the longest context, and of a block of texts.
-ORDER, BLOCK_BYTES = 5, 24 << 20
+ORDER, BLOCK_BYTES = 5, 16 << 20
+#: Sorted runs of keys that are merged at once.
+MERGED = 8
 #: Buckets of keys (a power of two): what a task sums at once is this share of the corpus' edges and words.
 BUCKETS = 256
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -83,6 +85,21 @@ def _parts(column: pa.Array, order: int) -> Iterator[tuple]:
         yield block.first, n, (symbols, of), (words, np.concatenate([owner, texts]))
 
 
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted runs of (keys, counts), with their sums."""
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    return _merge([(keys[order], counts[order].astype(np.int64))])
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers (uint64) by planes of their bytes, compressed: the high bytes of small ones cost nothing."""
     return _ZSTD.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
@@ -142,11 +159,12 @@ def packed(docs: DataFrame, order: int, block_bytes: int, buckets: int) -> DataF
             learned, found = ~table.column("held_out").to_numpy(), ([], [])
             for first, n, *kinds in _parts(table.column("text"), order):
                 for out, (keys, of) in zip(found, kinds, strict=True):
-                    names, back = np.unique(keys, return_inverse=True)
-                    out.append((names, np.bincount(back, learned[first : first + n][of], len(names))))
+                    out.append(_counted(keys, learned[first : first + n][of]))
+                    if len(out) == MERGED:
+                        out[:] = [_merge(out)]
             for kind, parts in zip((EDGES, WORDS), found, strict=True):
-                keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.uint64)
+                keys, counts = _merge(parts)
+                counts = counts.astype(np.uint64)
                 bucket = _bucket(keys, buckets)
                 at = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[at], np.arange(buckets + 1))
@@ -163,20 +181,13 @@ def summed(asked: DataFrame) -> DataFrame:
     """kind, key, n: the counts of all blocks' edges and words."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        held, size = [], 0
-        for n, k, c in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
-            held.append((_keys_of(k, n), _unpack(c, n)))
-            size += n
-            if size > 1 << 20:
-                keys, counts = merge([(keys, counts), *held])
-                held, size = [], 0
-        keys, counts = merge([(keys, counts), *held])
-        return pa.table({"kind": np.full(len(keys), table.column("kind")[0].as_py(), np.int32), "key": keys.view(np.int64), "n": counts.view(np.int64)})
-
-    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        names, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return names, np.bincount(back, np.concatenate([c for _, c in parts]).astype(np.float64), len(names)).astype(np.uint64)
+        held = []
+        for n, k, c in zip(*(table.column(x) for x in ("n", "keys", "counts")), strict=True):
+            held.append((_keys_of(k.as_py(), n.as_py()), _unpack(c.as_py(), n.as_py()).view(np.int64)))
+            if len(held) == MERGED:
+                held = [_merge(held)]
+        keys, counts = _merge(held)
+        return pa.table({"kind": np.full(len(keys), table.column("kind")[0].as_py(), np.int32), "key": keys.view(np.int64), "n": counts})
 
     return asked.groupBy("kind", "bucket").applyInArrow(run, "kind int, key long, n long")
 
