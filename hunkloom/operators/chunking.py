@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.derive import hashed_id, strip
+from .symbols import chunk_symbols
 
 MAX_CHARS, OVERLAP = 2000, 5
 HEADING = r"^##\s+(?:([A-Z]+-\d+)\s*:\s*)?(.+)$"
@@ -18,11 +19,12 @@ def lines_per_chunk(content: Column, n: Column, max_chars: int = MAX_CHARS) -> C
     return F.greatest(F.lit(10), F.floor(F.lit(max_chars) / average)).cast("int")
 
 
-def window_chunks(files: DataFrame, repo: str = "repo", path: str = "file_path", content: str = "content", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, base_line: Column | None = None) -> DataFrame:
-    """Windows of lines that overlap; the last one ends with the text. Blank texts have none."""
+def window_chunks(files: DataFrame, repo: str = "repo", path: str = "file_path", content: str = "content", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, base_line: Column | None = None, whole: Column | None = None) -> DataFrame:
+    """Windows of lines that overlap; the last one ends with the text. Blank texts have none; where `whole` holds, a text is one window."""
     base = F.lit(1) if base_line is None else base_line
     rows = files.where(strip(F.col(content)) != "").withColumn("_lines", F.split(content, "\n", -1)).withColumn("_n", F.size("_lines"))
-    rows = rows.withColumn("_per", lines_per_chunk(F.col(content), F.col("_n"), max_chars))
+    per = lines_per_chunk(F.col(content), F.col("_n"), max_chars)
+    rows = rows.withColumn("_per", per if whole is None else F.when(whole, F.greatest(F.col("_n"), F.lit(overlap + 1))).otherwise(per))
     step = F.col("_per") - overlap
     last = F.ceil(F.greatest(F.col("_n") - F.col("_per"), F.lit(0)) / step).cast("int") * step
     rows = rows.select(*files.columns, "_lines", "_n", "_per", F.explode(F.sequence(F.lit(0), last, step)).alias("_i"))
@@ -31,18 +33,18 @@ def window_chunks(files: DataFrame, repo: str = "repo", path: str = "file_path",
     return rows.withColumn("id", hashed_id(F.col(repo), ":", F.col(path), ":", F.col("start_line"), "-", F.col("end_line"))).drop("_lines", "_n", "_per", "_i")
 
 
-def symbol_chunks(files: DataFrame, symbols: DataFrame, repo: str = "repo", path: str = "file_path", content: str = "content", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """One chunk per top-level symbol, or windows of it where it is too long; windows of files without symbols."""
-    top = symbols.where("parent IS NULL").select(path, F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
-    own = files.join(top, path)
-    own = own.withColumn("_text", F.array_join(F.slice(F.split(content, "\n", -1), F.col("_from"), F.col("_to") - F.col("_from") + 1), "\n"))
-    small = own.where(F.length("_text") <= max_chars).withColumns({"start_line": F.col("_from"), "end_line": F.col("_to"), "chunk": F.col("_text")})
-    small = small.withColumn("id", hashed_id(F.col(repo), ":", F.col(path), ":", F.col("start_line"), "-", F.col("end_line")))
-    large = window_chunks(own.where(F.length("_text") > max_chars), repo, path, "_text", max_chars, overlap, F.col("_from"))
-    rest = window_chunks(files.join(top.select(path), path, "left_anti"), repo, path, content, max_chars, overlap)
-    columns = [repo, path, "symbol_name", "symbol_kind", "start_line", "end_line", "chunk", "id"]
-    blank = rest.withColumns({"symbol_name": F.lit(None).cast("string"), "symbol_kind": F.lit(None).cast("string")})
-    return small.select(columns).unionByName(large.select(columns)).unionByName(blank.select(columns))
+def chunk_files(files: DataFrame, repo: str = "repo", path: str = "file_path", language: str = "language", content: str = "content", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of files by language, in one pass and without an exchange: one for each symbol outside classes, or windows of it where
+    it is too long; windows of the file where its language has no parser, it has an error or no symbols."""
+    rows = files.select(repo, path, language, content).withColumn("_symbols", chunk_symbols(F.col(language), F.col(content)))
+    lines = F.split(content, "\n", -1)
+    text = lambda s: F.array_join(F.slice(lines, s["start_line"], s["end_line"] - s["start_line"] + 1), "\n")
+    piece = lambda name, kind, start, body: F.struct(name.alias("symbol_name"), kind.alias("symbol_kind"), start.alias("_from"), body.alias("_text"))
+    own = F.transform("_symbols", lambda s: piece(s["name"], s["kind"], s["start_line"], text(s)))
+    none = F.lit(None).cast("string")
+    pieces = rows.select(repo, path, language, F.explode(F.when(F.size("_symbols") > 0, own).otherwise(F.array(piece(none, none, F.lit(1), F.col(content))))).alias("_p")).select(repo, path, language, "_p.*")
+    found = window_chunks(pieces, repo, path, "_text", max_chars, overlap, F.col("_from"), F.col("symbol_name").isNotNull() & (F.length("_text") <= max_chars))
+    return found.select(repo, path, language, "symbol_name", "symbol_kind", "start_line", "end_line", "chunk", "id")
 
 
 def sections(docs: DataFrame, key: str, content: str = "content") -> DataFrame:

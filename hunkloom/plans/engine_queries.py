@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import derive, providers
-from ..operators import chunking, decision, diff, history, patches, prompts, security, symbols, vectors
+from ..operators import chunking, decision, diff, history, patches, prompts, security, vectors
 from ..sources import fixtures as fx
 from ..streaming import webhooks
 from .review_queries import LINES_SQL, REVIEWABLE_SQL, lines_of
@@ -385,21 +385,6 @@ def _(spark, sf_dir):
     return chunking.overlapping(ranges, _intervals(spark, sf_dir), "file_ord").groupBy("file_ord", "hunk_no").agg(F.count("*").alias("n"))
 
 
-_PY = "concat('import os', chr(10), 'def f', doc_id, '(a, b):', chr(10), '    return a', chr(10), 'class C', doc_id, ':', chr(10), '    def _m(self):', chr(10), '        pass')"
-
-
-@query("p07_symbols", "SELECT concat('s', doc_id, '.py') AS file_path, unnest(['import os', concat('f', doc_id), concat('C', doc_id), '_m']) AS name, unnest(['import', 'function', 'class', 'method']) AS kind, unnest([1, 2, 4, 5])::INT AS start_line FROM documents")
-def _(spark, sf_dir):
-    files = fx.table(spark, sf_dir, "documents").selectExpr("concat('s', doc_id, '.py') AS file_path", "'python' AS language", f"{_PY} AS content")
-    return symbols.symbols(files).select("file_path", "name", "kind", "start_line")
-
-
-@query("p14_symbol_chunks", "SELECT concat('s', doc_id, '.py') AS file_path, unnest([concat('f', doc_id), concat('C', doc_id), 'import os']) AS symbol_name, unnest([2, 4, 1])::INT AS start_line, unnest([3, 6, 1])::INT AS end_line FROM documents")
-def _(spark, sf_dir):
-    files = fx.table(spark, sf_dir, "documents").selectExpr("'repo' AS repo", "concat('s', doc_id, '.py') AS file_path", "'python' AS language", f"{_PY} AS content")
-    return chunking.symbol_chunks(files, symbols.symbols(files)).select("file_path", "symbol_name", "start_line", "end_line")
-
-
 # ---------------------------------------------------------------- vectors
 
 VECTORS_SQL = "e AS (SELECT vec_id AS id, concat('repo', label) AS repo, embedding::DOUBLE[] AS embedding FROM embeddings), q AS (SELECT id AS query_id, repo AS query_repo, embedding AS query FROM e WHERE id % 100 = 0)"

@@ -136,7 +136,7 @@ def test_symbols(spark):
     g = next(r for r in got if r.name == "g" and r.file_path == "a.py")
     assert g.docstring == "doc" and g.decorators == ["wraps"] and g.return_type == "int" and g.is_exported
     ts = [(r.name, r.kind, r.start_line, r.end_line) for r in got if r.file_path == "b.ts"]
-    assert ts == [("x from 'y'", "import", 1, 1), ("f", "function", 2, 4), ("C", "class", 5, 8), ("m", "method", 6, 7), ("g", "function", 9, 10), ("I", "interface", 11, 12), ("T", "type_alias", 13, 13)]
+    assert ts == [("import x from 'y';", "import", 1, 1), ("f", "function", 2, 4), ("C", "class", 5, 8), ("m", "method", 6, 7), ("g", "function", 9, 10), ("I", "interface", 11, 12), ("T", "type_alias", 13, 13)]
     assert all(r.error for r in got if r.file_path in ("c.go", "d.py"))
 
 
