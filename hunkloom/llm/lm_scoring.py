@@ -36,6 +36,8 @@ from .language_id import _find, _slots
 
 #: Bytes of the longest context, and of a block of texts.
 ORDER, BLOCK_BYTES = 5, 16 << 20
+#: Bytes of text that are cut into keys at once; a worker's memory beyond its block is some hundred times this.
+PART_BYTES = 1 << 18
 #: Sorted runs of keys that are merged at once.
 MERGED = 8
 #: Buckets of keys (a power of two): what a task sums at once is this share of the corpus' edges and words.
@@ -74,8 +76,8 @@ def edges(block: TextBlock, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(column: pa.Array, order: int) -> Iterator[tuple]:
-    """Blocks of about a megabyte: their first text, their number of texts, keys of symbols and words, and the texts these are of."""
-    for block in text_blocks(column):
+    """Parts of about PART_BYTES: their first text, their number of texts, keys of symbols and words, and the texts these are of."""
+    for block in text_blocks(column, PART_BYTES):
         n = len(block)
         inside, ends = edges(block, order)
         s, e, owner = block.words()
@@ -153,7 +155,7 @@ def packed(docs: DataFrame, order: int, block_bytes: int, buckets: int) -> DataF
         for number, table in enumerate(blocks(b for b in batches if b.num_rows)):
             block = (TaskContext.get().partitionId() << 32) + number
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_table(table)
             rows = [(block, TEXTS, 0, table.num_rows, sink.getvalue().to_pybytes(), b"")]
             learned, found = ~table.column("held_out").to_numpy(), ([], [])
