@@ -96,12 +96,31 @@ def rule_text(rules: DataFrame) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("["), "rule_id", F.lit("] "), "title"), "description", F.when(F.col("examples").isNotNull(), F.concat(F.lit("Examples:\n"), "examples")))
 
 
+#: Lines of a bucket at each level; an interval belongs to the first level that is no shorter than it.
+LEVELS = [16, 256, 4096, 65536, 2**31 - 1]
+
+
+def _holding(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, key: str) -> DataFrame:
+    """Points joined with the intervals of their key that hold them, met by buckets of lines: a point is sent to one bucket a level, an
+    interval to two at most, so what meets grows with the lines and not with their square, and one large file is many keys."""
+    length = F.col(end) - F.col(start) + 1
+    level = F.lit(LEVELS[-1])
+    for size in reversed(LEVELS[:-1]):
+        level = F.when(length <= size, size).otherwise(level)
+    bucket = lambda c: F.floor(F.col(c) / F.col("_level"))
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS)))).withColumn("_bucket", bucket(at))
+    i = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", level).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    return p.join(i, [key, "_level", "_bucket"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_level", "_bucket")
+
+
 def innermost(points: DataFrame, intervals: DataFrame, key: str, line: str = "line") -> DataFrame:
     """The shortest interval (key, start_line, end_line, ord) that holds each point; the first of equal ones."""
-    hit = points.join(intervals, key).where((F.col("start_line") <= F.col(line)) & (F.col(line) <= F.col("end_line")))
+    hit = _holding(points, line, intervals, "start_line", "end_line", key)
     return hit.groupBy(key, line).agg(F.min_by(F.struct("start_line", "end_line", "ord"), F.struct(F.col("end_line") - F.col("start_line"), F.col("ord"))).alias("s")).select(key, line, "s.*")
 
 
 def overlapping(ranges: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """Intervals that overlap each range (key, from_line, to_line)."""
-    return ranges.join(intervals, key).where((F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line")))
+    """Intervals (start_line, end_line) that overlap each range (key, from_line, to_line): those that hold its first line, and those that begin behind it, within the range."""
+    holding = _holding(ranges.where("from_line <= to_line"), "from_line", intervals, "start_line", "end_line", key)
+    within = _holding(intervals.where("start_line <= end_line"), "start_line", ranges, "from_line", "to_line", key).where("start_line > from_line")
+    return holding.unionByName(within.select(holding.columns))

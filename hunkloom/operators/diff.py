@@ -1,19 +1,29 @@
 """Unified diffs as line tables.
 
-Patches are dealt by file before they are cut into lines, so all windows below run without a
-further exchange: rows move as whole patches, and a file's lines never leave their task.
+A patch is one row, and all that its lines need to know of each other (hunk, position, line numbers, turns from
+removed to added) is worked out inside that row: running sums over an Arrow batch of patches, without an exchange or a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import types as T
 
 from ..functions import derive
 
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+NAMED = r"^@@ -(?P<a>\d+)(?:,(?P<b>\d+))? \+(?P<c>\d+)(?:,(?P<d>\d+))? @@"
 FILE = ["pr_id", "file_ord"]
+KINDS = ["hunk_header", "added", "removed", "context"]
+STARTS = ["old_start", "old_count", "new_start", "new_count"]
+#: Bytes of patches that are cut into lines at once.
+BLOCK_BYTES = 8 << 20
 
 
 def with_defaults(files: DataFrame) -> DataFrame:
@@ -21,28 +31,82 @@ def with_defaults(files: DataFrame) -> DataFrame:
     return files.withColumns({"filename": F.coalesce("filename", F.lit("")), "status": F.coalesce("status", F.lit("modified")), "additions": F.coalesce("additions", F.lit(0)), "deletions": F.coalesce("deletions", F.lit(0)), "patch": F.coalesce("patch", F.lit(""))}).withColumn("language", derive.language(F.col("filename")))
 
 
-def _number(group: int) -> Column:
-    return F.when(F.col("kind") == "hunk_header", F.expr(f"try_cast(regexp_extract(raw, r'{HEADER}', {group}) AS INT)"))
+def _numbers(headers: pa.Array) -> list[np.ndarray]:
+    """The four numbers of each header (counts: 1 where there is none) and whether they fit an int."""
+    found = pc.extract_regex(headers, NAMED)
+    out = []
+    for k, name in enumerate("abcd"):
+        values = [int(x) if x and len(x) < 20 else -1 if not x else 2**40 for x in found.field(name).to_pylist()]
+        numbers = np.array(values, np.int64)
+        bad = (numbers < 0) | (numbers >= 2**31)
+        out.append(np.where(bad, 1, numbers) if k % 2 else np.where(bad, -1, numbers))
+    return out
+
+
+def _lines_of(batch: pa.RecordBatch) -> dict[str, pa.Array | np.ndarray]:
+    """Columns of the lines of a batch's patches, and the row of each."""
+    split = pc.split_pattern(batch.column("patch").cast(pa.large_string()), "\n")
+    row, raw = pc.list_parent_indices(split).to_numpy(), split.flatten()
+    _, offsets, data = raw.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    lead = np.where(offsets[1:] > offsets[:-1], data[np.minimum(offsets[:-1], len(data) - 1)], ord(" "))
+    kind = np.select([lead == ord("+"), lead == ord("-"), lead == ord(" ")], [1, 2, 3], -1)
+    at = np.flatnonzero(lead == ord("@"))
+    at = at[pc.match_substring_regex(raw.take(pa.array(at)), HEADER).to_numpy(zero_copy_only=False)]
+    kind[at] = 0
+    # lines from each row's first header on
+    hunk = np.cumsum(kind == 0)
+    begins = np.searchsorted(row, np.arange(batch.num_rows))
+    hunk_no = hunk - np.r_[0, hunk][begins][row]
+    kept = np.flatnonzero(hunk_no > 0)
+    row, kind, hunk, hunk_no = row[kept], kind[kept], hunk[kept] - 1, hunk_no[kept]
+    first = np.searchsorted(row, row)
+    out = {"row": row, "kind": kind, "hunk_no": hunk_no.astype(np.int32), "pos": (np.arange(len(row)) - first + 1).astype(np.int32)}
+    # numbers of lines: counted from the header of the hunk
+    numbers = _numbers(raw.take(pa.array(at)))
+    head = np.flatnonzero(kind == 0)[hunk] if len(kept) else kept
+    for name, values in zip(STARTS, numbers, strict=True):
+        out[name] = pa.array(values[hunk].astype(np.int32), mask=values[hunk] < 0)
+    for name, start, sign in (("old_line", numbers[0], 2), ("new_line", numbers[2], 1)):
+        counts = np.cumsum((kind == sign) | (kind == 3))
+        line = start[hunk] + counts - counts[head] - 1 if len(kept) else counts
+        out[name] = pa.array(line.astype(np.int32), mask=((kind != sign) & (kind != 3)) | (start[hunk] < 0))
+    # a changed line turns if the changed line before it in its hunk is of the other kind
+    turn, changed = np.zeros(len(kept), bool), np.flatnonzero((kind == 1) | (kind == 2))
+    turn[changed[1:]] = (kind[changed[1:]] != kind[changed[:-1]]) & (hunk[changed[1:]] == hunk[changed[:-1]])
+    out["turn"] = turn
+    text = raw.take(pa.array(kept))
+    out["content"] = pc.if_else(pa.array(kind == 0), text, pc.utf8_slice_codeunits(text, 1))
+    return out
 
 
 def parse_patches(files: DataFrame) -> DataFrame:
-    """One row per header, added, removed and context line: hunk_no, pos, kind, old_line, new_line, content, and the
-    header's old_start, old_count, new_start, new_count. Positions also count lines of no kind, which are left out."""
-    rows = files.where("patch <> ''").select(*FILE, "filename", "status", "patch").repartition(*FILE)
-    rows = rows.select(*FILE, "filename", "status", F.posexplode(F.split("patch", "\n", -1)).alias("i", "raw"))
-    kind = F.when(F.col("raw").rlike(HEADER), "hunk_header").when(F.col("raw").startswith("+"), "added").when(F.col("raw").startswith("-"), "removed").when(F.col("raw").startswith(" ") | (F.col("raw") == ""), "context")
-    file = W.partitionBy(*FILE).orderBy("i")
-    so_far = file.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("kind", kind).withColumn("hunk_no", F.count_if(F.coalesce(F.col("kind") == "hunk_header", F.lit(False))).over(so_far).cast("int")).where("hunk_no > 0")
-    rows = rows.withColumn("pos", F.row_number().over(file))
-    starts = {"old_start": _number(1), "old_count": F.coalesce(_number(2), F.when(F.col("kind") == "hunk_header", 1)), "new_start": _number(3), "new_count": F.coalesce(_number(4), F.when(F.col("kind") == "hunk_header", 1))}
-    hunk = W.partitionBy(*FILE, "hunk_no").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns(starts).withColumns({c: F.first(c, ignorenulls=True).over(hunk) for c in starts})
-    known = F.coalesce(F.col("kind"), F.lit(""))
-    before = {k: F.count_if(known.isin(k, "context")).over(hunk) - 1 for k in ("removed", "added")}
-    rows = rows.withColumns({"old_line": F.when(known.isin("removed", "context"), F.col("old_start") + before["removed"]).cast("int"), "new_line": F.when(known.isin("added", "context"), F.col("new_start") + before["added"]).cast("int")})
-    content = F.when(known == "hunk_header", F.col("raw")).otherwise(F.expr("substring(raw, 2)"))
-    return rows.where("kind IS NOT NULL").select(*FILE, "filename", "status", "hunk_no", "pos", "kind", "old_line", "new_line", content.alias("content"), *starts)
+    """One row per header, added, removed and context line: hunk_no, pos, kind, old_line, new_line, content, the header's
+    old_start, old_count, new_start, new_count, and whether a changed line follows one of the other kind (turn). Positions also
+    count lines of no kind, which are left out; lines before the first header have none."""
+    rows = files.where("patch <> ''").select(*FILE, "filename", "status", "patch")
+    schema = T.StructType([*(rows.schema[c] for c in (*FILE, "filename", "status")), *T.StructType.fromDDL("hunk_no int, pos int, kind string, old_line int, new_line int, content string, " + ", ".join(f"{c} int" for c in STARTS) + ", turn boolean").fields])
+    names = np.array([*KINDS, None], object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column("patch")).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + BLOCK_BYTES, side="right")))
+                part = batch.slice(low, high - low)
+                found = _lines_of(part)
+                known = np.flatnonzero(found["kind"] >= 0)
+                at, row = pa.array(known), pa.array(found.pop("row")[known])
+                found["kind"] = names[found["kind"]]
+                own = {c: part.column(c).take(row) for c in (*FILE, "filename", "status")}
+                own |= {c: (x if isinstance(x, pa.Array) else pa.array(x)).take(at) for c, x in found.items()}
+                own["content"] = own["content"].cast(pa.string())
+                yield pa.RecordBatch.from_pydict({f.name: own[f.name] for f in schema.fields})
+                low = high
+
+    return rows.mapInArrow(run, schema)
 
 
 def pr_totals(files: DataFrame) -> DataFrame:

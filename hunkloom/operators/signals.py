@@ -56,9 +56,6 @@ def _listed(df: DataFrame, keys: list[Column], signals: list[Column]) -> DataFra
 def hunk_facts(lines: DataFrame, legacy_null_regex: bool = False) -> DataFrame:
     """What the hunk rules need: one row per hunk."""
     removed, added = F.col("kind") == "removed", F.col("kind") == "added"
-    changed = F.when(removed | added, F.col("kind"))
-    before = F.last(changed, ignorenulls=True).over(W.partitionBy(*FILE, "hunk_no").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    lines = lines.withColumn("turn", (changed != before))
     text = F.col("content")
     first = lambda line, when: F.min_by(F.when(when, F.col(line)), F.when(when, F.col("pos")))
     broad = text.rlike(BROAD[0]) | text.rlike(BROAD[1]) | text.rlike(BROAD[2])
