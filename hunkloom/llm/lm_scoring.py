@@ -40,8 +40,8 @@ ORDER, BLOCK_BYTES = 5, 16 << 20
 PART_BYTES = 1 << 18
 #: Sorted runs of keys that are merged at once.
 MERGED = 8
-#: Buckets of keys (a power of two): what a task sums at once is this share of the corpus' edges and words.
-BUCKETS = 256
+#: Buckets of keys (a power of two) at least, and bytes of text for one more: what a task sums at once does not grow with the corpus.
+BUCKETS, BUCKET_BYTES = 256, 256 << 20
 _ZSTD = pa.Codec("zstd", compression_level=1)
 #: The byte that stands before a text, the symbol of its end, and the number of symbols.
 BEFORE, END, SYMBOLS = 10, 256, 257
@@ -266,9 +266,12 @@ def _score(order: int, tokens_learned: int, words_learned: int):
     return run
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """doc_id (`key`), held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams of words) and score (the trie's) of each row."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held_out(F.col(key)).alias("held_out"))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+        buckets = max(BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
     blocks = cut(packed(rows, order, block_bytes, buckets), "blocks")
     asked = blocks.where(F.col("kind") != TEXTS)
     counts = cut(summed(asked), "counts")
