@@ -50,3 +50,18 @@ def requests(lines: DataFrame) -> DataFrame:
     ok = F.try_parse_json("value").isNotNull()
     known = F.col("m.method").isin("initialize", "tools/list", "tools/call", "resources/list", "resources/read", "ping")
     return m.select("m.id", "m.method", "m.params", F.when(~ok, F.lit(-32700)).when(~known, F.lit(-32601)).alias("error_code"))
+
+
+REVIEW = "action string, review struct<state:string, user:struct<login:string>>, pull_request struct<number:int>, repository struct<full_name:string>"
+
+
+def human_reviews(events: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews by people (events of the route `acknowledged`, with their payload) beside the latest stored review of the pull request.
+
+    reviews: repo, pr_number, review_id, decision, created_at. `agrees` says whether both ask for the same; it is null without a stored review.
+    """
+    p = events.where(F.col("event") == "pull_request_review").select("delivery_id", F.from_json("payload", REVIEW).alias("p"))
+    said = p.select("delivery_id", F.col("p.repository.full_name").alias("repo"), F.col("p.pull_request.number").alias("pr_number"), F.col("p.review.user.login").alias("reviewer"), F.lower("p.review.state").alias("state"))
+    last = reviews.groupBy("repo", "pr_number").agg(F.max_by(F.struct("review_id", "decision"), F.struct("created_at", "review_id")).alias("r")).select("repo", "pr_number", "r.*")
+    same = F.when(F.col("state") == "approved", "approve").when(F.col("state") == "changes_requested", "request_changes").otherwise("comment") == F.col("decision")
+    return said.join(last, ["repo", "pr_number"], "left").withColumn("agrees", same)
