@@ -52,6 +52,34 @@ def embed(text: Column, name: str = "hashed") -> Column:
     return run(text)
 
 
+def embed_new(text: Column, name: str = "hashed") -> Column:
+    """Embeddings of the texts that aren't null; the embedder never sees the others."""
+    f = provider(EMBEDDERS, name)
+
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(s), dtype=object)
+        at = np.flatnonzero(s.notna())
+        if len(at):
+            for i, v in zip(at, f(s.iloc[at].tolist()), strict=True):
+                out.iloc[i] = v
+        return out
+
+    return run(text)
+
+
+def answers(model: Callable[[list[str]], list], prompts: list[str]) -> list[tuple[str | None, str | None, str | None]]:
+    """(content, finish_reason, error) of each prompt. A model gives texts, or dictionaries of content and finish_reason; where it raises for
+    several prompts, they are asked one by one, and those that fail have the error."""
+    try:
+        said = model(prompts) if prompts else []
+    except Exception as e:
+        if len(prompts) == 1:
+            return [(None, None, f"{type(e).__name__}: {e}")]
+        return [answers(model, [p])[0] for p in prompts]
+    return [(a.get("content"), a.get("finish_reason", "stop"), None) if isinstance(a, dict) else (a, "stop", None) for a in said]
+
+
 def generate(prompt: Column, name: str = "fixed") -> Column:
     """Answers to a column of prompts, in Arrow batches."""
     f = provider(MODELS, name)

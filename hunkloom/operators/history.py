@@ -101,9 +101,25 @@ def learning_context(reviews: DataFrame, comments: DataFrame) -> DataFrame:
     return profiles.join(emphasis_areas(profiles, patterns), ["repository_id", "author"]).join(rules, "repository_id", "left").join(seen, "repository_id", "left").withColumns({"suppress_rules": F.coalesce("suppress_rules", none), "patterns": F.coalesce("patterns", none)})
 
 
-def prompt_context(context: DataFrame) -> DataFrame:
-    """The sections of the context that have something to say, as one text."""
+# Heads of the sections of a context.
+AUTHOR_HEAD, PATTERNS_HEAD, SIMILAR_HEAD = "## Author History (", "## Recurring Repository Patterns:", "## Similar Past Comments (avoid repeating unless still relevant):"
+AREAS_HEAD, RULES_HEAD = "## Areas Requiring Extra Attention:", "## Suppressed Rules (known false positives in this repo):"
+
+
+def with_similar(context: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """The context with the past comments that were found for it (rank, severity, comment, and the columns `by`), in order."""
+    each = found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "severity", "comment"))), lambda x: F.struct(x["severity"].alias("severity"), x["comment"].alias("comment"))).alias("similar"))
+    return context.join(each, by, "left")
+
+
+def prompt_context(context: DataFrame, top: int = 3) -> DataFrame:
+    """The sections of the context that have something to say, as one text; `similar` comments are a section where the column is there."""
     bullets = lambda head, c: F.when(F.size(c) > 0, F.concat(F.lit(head + "\n- "), F.array_join(c, "\n- ")))
-    profile = F.concat(F.lit("## Author History ("), "author", F.lit("):\n- PRs reviewed: "), F.col("total_prs_reviewed").cast("string"), F.lit("\n- Approval rate: "), F.bround(F.col("approval_rate") * 100).cast("int").cast("string"), F.lit("%\n- Common issues: "), F.array_join(F.slice("common_issues", 1, 3), ", "), F.lit("\n- Avg issues/PR: "), F.bround("avg_issues_per_pr", 1).cast("string"))
-    patterns = F.when(F.size("patterns") > 0, F.concat(F.lit("## Recurring Repository Patterns:\n"), F.array_join(F.slice("patterns", 1, 5), "\n")))
-    return context.select("repository_id", "author", F.concat_ws("\n\n", profile, patterns, bullets("## Areas Requiring Extra Attention:", F.col("areas")), bullets("## Suppressed Rules (known false positives in this repo):", F.col("suppress_rules"))).alias("prompt"))
+    t = lambda c: c.cast("string")
+    profile = F.concat(F.lit(AUTHOR_HEAD), "author", F.lit("):\n- PRs reviewed: "), t(F.col("total_prs_reviewed")), F.lit("\n- Approval rate: "), t(F.bround(F.col("approval_rate") * 100).cast("int")), F.lit("%\n- Common issues: "), F.array_join(F.slice("common_issues", 1, 3), ", "), F.lit("\n- Avg issues/PR: "), t(F.bround("avg_issues_per_pr", 1)))
+    patterns = F.when(F.size("patterns") > 0, F.concat(F.lit(PATTERNS_HEAD + "\n"), F.array_join(F.slice("patterns", 1, 5), "\n")))
+    similar = F.lit(None).cast("string")
+    if "similar" in context.columns:
+        one = F.transform(F.slice("similar", 1, top), lambda c: F.concat(F.lit("- ["), c["severity"], F.lit("] "), F.substring(c["comment"], 1, 100)))
+        similar = F.when(F.size("similar") > 0, F.concat(F.lit(SIMILAR_HEAD + "\n"), F.array_join(one, "\n")))
+    return context.select("repository_id", "author", F.concat_ws("\n\n", profile, patterns, similar, bullets(AREAS_HEAD, F.col("areas")), bullets(RULES_HEAD, F.col("suppress_rules"))).alias("prompt"))

@@ -61,6 +61,19 @@ def standards(results: Column, most: int = 5) -> Column:
     return F.when(F.size(results) > 0, F.array_join(F.transform(F.slice(results, 1, most), one), "\n\n")).otherwise("No specific coding standards found.")
 
 
+# The parts of a message about one file.
+FILE_HEAD, FILE_DIFF, FILE_CONTENT, FILE_STANDARDS = "\n## File Under Review: ", "\n### Diff:\n```\n", "\n### Full File Content:\n```\n", "\n## Applicable Coding Standards:\n"
+FILE_REQUEST = "\n## Instructions:\nReview ONLY this file. Produce a JSON response with your findings."
+
+
+def file_message(head: Column, filename: Column, status: Column, additions: Column, deletions: Column, patch: Column, content: Column, rules: Column) -> Column:
+    """The user's message about one file of a pull request: its header, the file's diff, its content if there is one, and standards if there are."""
+    about = F.concat(F.lit("Status: "), status, F.lit(" | +"), additions.cast("string"), F.lit(" -"), deletions.cast("string"))
+    shown = F.when(F.coalesce(content, F.lit("")) != "", F.concat(F.lit(FILE_CONTENT), F.substring(content, 1, MAX_FILE), F.lit("\n```")))
+    held = F.when(F.coalesce(rules, F.lit("")) != "", F.concat(F.lit(FILE_STANDARDS), rules))
+    return F.concat_ws("\n", head, F.concat(F.lit(FILE_HEAD), filename), about, F.concat(F.lit(FILE_DIFF), F.substring(F.coalesce(patch, F.lit("")), 1, MAX_DIFF), F.lit("\n```")), shown, held, F.lit(FILE_REQUEST))
+
+
 def messages(turns: DataFrame) -> DataFrame:
     """System texts of a conversation in a row, and its other turns in order; a request where there are none."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))

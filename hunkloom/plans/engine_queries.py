@@ -214,11 +214,6 @@ def _(spark, sf_dir):
     return history.learning_context(*_history(spark, sf_dir)).select("repository_id", "author", "areas", "suppress_rules", "total_prs_reviewed")
 
 
-@query("r14_prompt_context")
-def _(spark, sf_dir):
-    return history.prompt_context(history.learning_context(*_history(spark, sf_dir)))
-
-
 @query("w08_ordinals", f"WITH {fx.COMMENTS_SQL} SELECT review_id, line_number, (row_number() OVER (PARTITION BY review_id ORDER BY line_number, file_path, message, severity, category) - 1)::INT AS ordinal, substr(sha256(concat('repo:', review_id, ':', row_number() OVER (PARTITION BY review_id ORDER BY line_number, file_path, message, severity, category) - 1)), 1, 16) AS id, concat('[', severity, '] [', category, '] ', file_path, ': ', message) AS text FROM review_comments")
 def _(spark, sf_dir):
     c = history.with_ordinals(fx.review_comments(spark, sf_dir))
@@ -450,12 +445,6 @@ def _(spark, sf_dir):
     return decision.parse_output(m.select("conv_id", providers.generate(F.col("system")).alias("content"))).select("conv_id", "parse_ok", "decision", "confidence")
 
 
-@query("x16_index_files", f"WITH {CHUNKS_SQL} SELECT file_path, count(*) AS chunks_indexed FROM chunks GROUP BY file_path")
-def _(spark, sf_dir):
-    c = chunking.window_chunks(_source_files(spark, sf_dir)).withColumn("embedding", providers.embed(F.col("chunk"))).withColumn("version", F.lit(1))
-    return vectors.upsert(c.limit(0), c).where(F.size("embedding") == 64).groupBy("file_path").agg(F.count("*").alias("chunks_indexed"))
-
-
 # ---------------------------------------------------------------- prompts, patches, events
 
 _SECTION = "concat(chr(10), '### ', filename, ' (', status, ', +', additions, ' -', deletions, ')', chr(10), '```diff', chr(10), patch, chr(10), '```', chr(10))"

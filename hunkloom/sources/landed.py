@@ -40,47 +40,57 @@ def pull_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 class PagedFiles(DataSource):
-    """Landed pages of pull request files: text files `page-1.json`, ... of JSON arrays below `path`, one partition a page."""
+    """Landed pages of files of pull requests: `page-1.json`, `page-2.json`, ... of JSON arrays, in `path` or in a folder a pull
+    request below it. A listing is a partition, whose pages are read one after the other until one is missing, empty or not full."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_files"
 
     def schema(self) -> str:
-        return FILE_SCHEMA
+        return "listing string, page int, " + FILE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Pages(self.options["path"], int(self.options.get("pages", "1")))
+        return _Listings(self.options["path"], int(self.options.get("pageSize", str(PAGE))))
 
 
-class _Pages(DataSourceReader):
-    def __init__(self, path: str, pages: int):
-        self.path, self.pages = path, pages
+class _Listings(DataSourceReader):
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(1, self.pages + 1)]
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(self.path)
+        found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+        names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
+        return [InputPartition(n) for n in (["."] if any(f.base_name == "page-1.json" for f in found) else []) + names]
 
     def read(self, partition):
         import json
 
         from pyarrow import fs
 
+        if partition is None:  # there is no listing
+            return
         store, top = fs.FileSystem.from_uri(self.path)
-        if store.get_file_info(f"{top}/page-{partition.value}.json").type == fs.FileType.NotFound:
-            return  # after the last page
-        with store.open_input_stream(f"{top}/page-{partition.value}.json") as f:
-            for x in json.loads(f.read()):
-                yield x.get("filename"), x.get("status"), x.get("additions"), x.get("deletions"), x.get("patch"), x.get("previous_filename")
-
-
-def paged_files(spark: SparkSession, path: str, pages: int) -> DataFrame:
+        page, full = 0, True
+        while full:
+            page += 1
+            at = f"{top}/{partition.value}/page-{page}.json"
+            if store.get_file_info(at).type == fs.FileType.NotFound:
+                return
+            with store.open_input_stream(at) as f:
+                rows = json.loads(f.read())
+            for x in rows:
+                yield partition.value, page, x.get("filename"), x.get("status"), x.get("additions"), x.get("deletions"), x.get("patch"), x.get("previous_filename")
+            full = len(rows) >= self.size
+
+
+def paged_files(spark: SparkSession, path: str, page_size: int = PAGE) -> DataFrame:
+    """Files of landed listings, with their listing and page; each listing ends by itself."""
     spark.dataSource.register(PagedFiles)
-    return spark.read.format("paged_files").option("path", path).option("pages", pages).load()
-
-
-def pages_needed(n: int) -> int:
-    """Requests of a paginated scan: it stops at the first page that is empty or not full."""
-    return n // PAGE + 1
+    return spark.read.format("paged_files").option("path", path).option("pageSize", page_size).load()
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
