@@ -31,6 +31,27 @@ def with_defaults(files: DataFrame) -> DataFrame:
     return files.withColumns({"filename": F.coalesce("filename", F.lit("")), "status": F.coalesce("status", F.lit("modified")), "additions": F.coalesce("additions", F.lit(0)), "deletions": F.coalesce("deletions", F.lit(0)), "patch": F.coalesce("patch", F.lit(""))}).withColumn("language", derive.language(F.col("filename")))
 
 
+def with_flags(files: DataFrame) -> DataFrame:
+    """File rows with the sum of their changes, and whether they are new, deleted or renamed."""
+    status = F.col("status")
+    return files.withColumns({"total_changes": F.col("additions") + F.col("deletions"), "is_new_file": status == "added", "is_deleted": status == "removed", "is_renamed": status == "renamed"})
+
+
+def status_counts(files: DataFrame) -> DataFrame:
+    """How many files of each pull request are modified, added and deleted."""
+    return files.groupBy("pr_id").agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in (("modified", "modified"), ("added", "added"), ("removed", "deleted"))))
+
+
+def of_language(files: DataFrame, language: str) -> DataFrame:
+    return files.where(derive.language(F.col("filename")) == language)
+
+
+def skipped(files: DataFrame) -> DataFrame:
+    """Pull requests without a file to review."""
+    none = F.count_if(derive.reviewable(F.col("filename"), F.col("status"))) == 0
+    return files.groupBy("pr_id").agg(none.alias("none")).where("none").select("pr_id", F.lit("skipped").alias("status"))
+
+
 def _numbers(headers: pa.Array) -> list[np.ndarray]:
     """The four numbers of each header (counts: 1 where there is none) and whether they fit an int."""
     found = pc.extract_regex(headers, NAMED)

@@ -29,6 +29,21 @@ RULES = {
     "error_handling_removed": (6, "high", "0.75"), "null_check_removed": (7, "high", "0.7"), "todo_added": (8, "low", "0.4"), "commented_code": (9, "low", "0.5"), "broad_exception": (10, "medium", "0.6"),
     "sensitive_area": (11, "medium", "0.6"), "config_change": (12, "medium", "0.5"),
 }
+# What is said of a signal, before and after a number or word of its own.
+TEXTS = {
+    "large_change": ("Very large PR (", " lines changed). Large changes correlate with higher defect rates."),
+    "many_files": ("Changes span ", " files. Scattered changes are harder to reason about."),
+    "large_file_change": ("File has ", " lines changed. Consider breaking into smaller changes."),
+    "high_entropy": ("Complex interleaved changes (high entropy). Difficult to verify correctness.", ""),
+    "large_addition": ("Large block of new code without modification to existing logic.", ""),
+    "error_handling_removed": ("Error handling code removed (", " lines). This may introduce unhandled exceptions."),
+    "null_check_removed": ("Null/None check removed. May cause NullPointerException or TypeError at runtime.", ""),
+    "todo_added": ("TODO/FIXME comment added. Indicates known incomplete or problematic code.", ""),
+    "commented_code": ("Commented-out code added (", " lines). Dead code should be removed, not commented."),
+    "broad_exception": ("Overly broad exception handling. May silently swallow important errors.", ""),
+    "sensitive_area": ("Changes to security/business-critical area ('", "' in path). Requires careful review."),
+    "config_change": ("Configuration file modified. Misconfigurations can cause production outages.", ""),
+}
 WEIGHTS = {"critical": "1.0", "high": "0.75", "medium": "0.4", "low": "0.15"}
 LEVELS = [(0.8, "critical"), (0.6, "high"), (0.35, "medium")]
 GROUPS = {**dict.fromkeys((1, 2, 3), 1), **dict.fromkeys((4, 5), 2), **dict.fromkeys(range(6, 11), 3), **dict.fromkeys((11, 12), 4)}
@@ -44,9 +59,10 @@ ADVICE = [
 NO_ADVICE = "Low-risk change. Standard review should suffice."
 
 
-def _signal(name: str, when: Column, line: Column | None = None) -> Column:
+def _signal(name: str, when: Column, line: Column | None = None, said: Column | None = None) -> Column:
     number, level, confidence = RULES[name]
-    return F.when(when, F.struct(F.lit(number).alias("rule"), F.lit(name).alias("signal_type"), F.lit(level).alias("risk_level"), F.lit(float(confidence)).alias("confidence"), (F.lit(None) if line is None else line).cast("int").alias("line_number")))
+    text = F.concat(*(F.lit(TEXTS[name][0]), said.cast("string"), F.lit(TEXTS[name][1])) if said is not None else (F.lit(TEXTS[name][0]),))
+    return F.when(when, F.struct(F.lit(number).alias("rule"), F.lit(name).alias("signal_type"), F.lit(level).alias("risk_level"), F.lit(float(confidence)).alias("confidence"), (F.lit(None) if line is None else line).cast("int").alias("line_number"), text.alias("description")))
 
 
 def _listed(df: DataFrame, keys: list[Column], signals: list[Column]) -> DataFrame:
@@ -69,26 +85,27 @@ def hunk_facts(lines: DataFrame, legacy_null_regex: bool = False) -> DataFrame:
 
 
 def signals(files: DataFrame, lines: DataFrame, legacy_null_regex: bool = False) -> DataFrame:
-    """All signals: pr_id, filename, line_number, risk_level, signal_type, confidence, rule, and their order."""
+    """All signals: pr_id, filename, line_number, risk_level, signal_type, confidence, description, rule, and their order."""
     hunks = hunk_facts(lines, legacy_null_regex)
     live = F.col("status") != "removed"
     start = F.col("new_start")
     by_hunk = _listed(hunks, [F.col("pr_id"), F.col("file_ord"), F.col("filename"), F.col("hunk_no")], [
         _signal("high_entropy", (F.col("entropy") > 0.7) & (F.col("n_lines") > 10), start),
         _signal("large_addition", (F.col("n_lines") > 50) & (F.col("old_count") == 0), start),
-        _signal("error_handling_removed", live & (F.col("n_error") >= 2), start),
+        _signal("error_handling_removed", live & (F.col("n_error") >= 2), start, F.col("n_error")),
         _signal("null_check_removed", live & F.col("null_line").isNotNull(), F.col("null_line")),
         _signal("todo_added", live & F.col("todo_line").isNotNull(), F.col("todo_line")),
-        _signal("commented_code", live & (F.col("n_commented") >= 3), start),
+        _signal("commented_code", live & (F.col("n_commented") >= 3), start, F.col("n_commented")),
         _signal("broad_exception", live & F.col("broad_line").isNotNull(), F.col("broad_line")),
     ])
     path, changes = F.lower("filename"), F.col("additions") + F.col("deletions")
     any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(path, w))
     by_file = _listed(files, [F.col("pr_id"), F.col("file_ord"), F.col("filename"), F.lit(0).alias("hunk_no")], [
-        _signal("large_file_change", changes > LARGE_FILE), _signal("sensitive_area", any_of(SENSITIVE)), _signal("config_change", any_of(CONFIG) & (changes > 5)),
+        _signal("large_file_change", changes > LARGE_FILE, said=changes), _signal("sensitive_area", any_of(SENSITIVE), said=sensitive_keyword(F.col("filename"))), _signal("config_change", any_of(CONFIG) & (changes > 5)),
     ])
+    total = F.col("total_additions") + F.col("total_deletions")
     by_pr = _listed(pr_totals(files), [F.col("pr_id"), F.lit(-1).cast("long").alias("file_ord"), F.lit("(entire PR)").alias("filename"), F.lit(0).alias("hunk_no")], [
-        _signal("large_change", F.col("total_additions") + F.col("total_deletions") > LARGE_PR), _signal("many_files", F.col("files_changed") > MANY_FILES),
+        _signal("large_change", total > LARGE_PR, said=total), _signal("many_files", F.col("files_changed") > MANY_FILES, said=F.col("files_changed")),
     ])
     out = by_pr.unionByName(by_hunk).unionByName(by_file.withColumn("file_ord", F.col("file_ord").cast("long")))
     group = F.element_at(F.create_map(*(F.lit(x) for kv in GROUPS.items() for x in kv)), F.col("rule"))

@@ -36,23 +36,24 @@ facts AS (SELECT pr_id, file_ord, filename, status, hunk_no, max(new_start) AS n
 hunks AS (SELECT f.*, CASE WHEN n_changed > 1 THEN coalesce(turns, 0)::DOUBLE / (n_changed - 1) ELSE 0.0::DOUBLE END AS entropy FROM facts f LEFT JOIN turns USING (file_ord, hunk_no))"""
 _PATH = "len(list_filter([{}], lambda w: contains(lower(filename), w))) > 0"
 _HAS = {k: _PATH.format(", ".join(f"'{w}'" for w in words)) for k, words in (("s", signals.SENSITIVE), ("c", signals.CONFIG))}
+_TEXT = lambda t: "'" + t.replace("'", "''") + "'"
 SIGNALS_SQL = f"""{FACTS_SQL},
 totals AS (SELECT pr_id, sum(additions)::BIGINT AS total_additions, sum(deletions)::BIGINT AS total_deletions, count(*) AS files_changed FROM pr_files GROUP BY pr_id),
 found AS (
-  SELECT pr_id, -1 AS file_ord, '(entire PR)' AS filename, 0 AS hunk_no, NULL::INT AS line_number, 1 AS rule FROM totals WHERE total_additions + total_deletions > 500
-  UNION ALL SELECT pr_id, -1, '(entire PR)', 0, NULL, 2 FROM totals WHERE files_changed > 15
-  UNION ALL SELECT pr_id, file_ord, filename, 0, NULL, 3 FROM pr_files WHERE additions + deletions > 200
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 4 FROM hunks WHERE entropy > 0.7 AND n_lines > 10
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 5 FROM hunks WHERE n_lines > 50 AND old_count = 0
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 6 FROM hunks WHERE status <> 'removed' AND n_error >= 2
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, null_line, 7 FROM hunks WHERE status <> 'removed' AND null_line IS NOT NULL
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, todo_line, 8 FROM hunks WHERE status <> 'removed' AND todo_line IS NOT NULL
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 9 FROM hunks WHERE status <> 'removed' AND n_commented >= 3
-  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, broad_line, 10 FROM hunks WHERE status <> 'removed' AND broad_line IS NOT NULL
-  UNION ALL SELECT pr_id, file_ord, filename, 0, NULL, 11 FROM pr_files WHERE {_HAS['s']}
-  UNION ALL SELECT pr_id, file_ord, filename, 0, NULL, 12 FROM pr_files WHERE {_HAS['c']} AND additions + deletions > 5),
-rules AS (SELECT * FROM (VALUES {', '.join(f"({n}, '{k}', '{lv}', {c}::DECIMAL(6,4), {signals.GROUPS[n]}, {signals.WEIGHTS[lv]}::DECIMAL(6,4))" for k, (n, lv, c) in signals.RULES.items())}) r(rule, signal_type, risk_level, confidence, grp, weight)),
-sig AS (SELECT f.*, r.* EXCLUDE (rule) FROM found f JOIN rules r USING (rule))"""
+  SELECT pr_id, -1 AS file_ord, '(entire PR)' AS filename, 0 AS hunk_no, NULL::INT AS line_number, 1 AS rule, (total_additions + total_deletions)::VARCHAR AS detail FROM totals WHERE total_additions + total_deletions > 500
+  UNION ALL SELECT pr_id, -1, '(entire PR)', 0, NULL, 2, files_changed::VARCHAR FROM totals WHERE files_changed > 15
+  UNION ALL SELECT pr_id, file_ord, filename, 0, NULL, 3, (additions + deletions)::VARCHAR FROM pr_files WHERE additions + deletions > 200
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 4, '' FROM hunks WHERE entropy > 0.7 AND n_lines > 10
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 5, '' FROM hunks WHERE n_lines > 50 AND old_count = 0
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 6, n_error::VARCHAR FROM hunks WHERE status <> 'removed' AND n_error >= 2
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, null_line, 7, '' FROM hunks WHERE status <> 'removed' AND null_line IS NOT NULL
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, todo_line, 8, '' FROM hunks WHERE status <> 'removed' AND todo_line IS NOT NULL
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, new_start, 9, n_commented::VARCHAR FROM hunks WHERE status <> 'removed' AND n_commented >= 3
+  UNION ALL SELECT pr_id, file_ord, filename, hunk_no, broad_line, 10, '' FROM hunks WHERE status <> 'removed' AND broad_line IS NOT NULL
+  UNION ALL SELECT pr_id, file_ord, filename, 0, NULL, 11, list_filter([{', '.join(repr(w) for w in signals.SENSITIVE)}], lambda w: contains(lower(filename), w))[1] FROM pr_files WHERE {_HAS['s']}
+  UNION ALL SELECT pr_id, file_ord, filename, 0, NULL, 12, '' FROM pr_files WHERE {_HAS['c']} AND additions + deletions > 5),
+rules AS (SELECT * FROM (VALUES {', '.join(f"({n}, '{k}', '{lv}', {c}::DECIMAL(6,4), {signals.GROUPS[n]}, {signals.WEIGHTS[lv]}::DECIMAL(6,4), {_TEXT(signals.TEXTS[k][0])}, {_TEXT(signals.TEXTS[k][1])})" for k, (n, lv, c) in signals.RULES.items())}) r(rule, signal_type, risk_level, confidence, grp, weight, before, after)),
+sig AS (SELECT f.*, r.* EXCLUDE (rule, before, after), concat(before, detail, after) AS description FROM found f JOIN rules r USING (rule))"""
 SCORES_SQL = f"""{SIGNALS_SQL},
 s AS (SELECT pr_id, sum(weight * confidence)::DOUBLE AS total, count(*) AS n, list(DISTINCT signal_type) AS types, bool_or(risk_level = 'critical') AS critical FROM sig GROUP BY pr_id),
 p AS (SELECT pr_id, coalesce(n, 0) AS n, types, critical, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, total / n * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE))) END AS risk_score
@@ -114,7 +115,7 @@ def _(spark, sf_dir):
 
 @query("r03_file_flags", f"WITH {fx.PR_FILES_SQL} SELECT pr_id, file_ord, additions + deletions AS total_changes, status = 'added' AS is_new_file, status = 'removed' AS is_deleted, status = 'renamed' AS is_renamed FROM pr_files")
 def _(spark, sf_dir):
-    return fx.pr_files(spark, sf_dir).selectExpr("pr_id", "file_ord", "additions + deletions AS total_changes", "status = 'added' AS is_new_file", "status = 'removed' AS is_deleted", "status = 'renamed' AS is_renamed")
+    return diff.with_flags(fx.pr_files(spark, sf_dir)).select("pr_id", "file_ord", "total_changes", "is_new_file", "is_deleted", "is_renamed")
 
 
 @query("r05_changed_lines", f"WITH {LINES_SQL} SELECT pr_id, file_ord, hunk_no, list(new_line ORDER BY new_line) AS changed FROM lines WHERE kind = 'added' GROUP BY ALL")
@@ -138,12 +139,12 @@ def _(spark, sf_dir):
 
 @query("f03_by_status", f"WITH {fx.PR_FILES_SQL} SELECT pr_id, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS deleted FROM pr_files GROUP BY pr_id")
 def _(spark, sf_dir):
-    return fx.pr_files(spark, sf_dir).groupBy("pr_id").agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in (("modified", "modified"), ("added", "added"), ("removed", "deleted"))))
+    return diff.status_counts(fx.pr_files(spark, sf_dir))
 
 
 @query("f04_by_language", f"WITH {fx.PR_FILES_SQL} SELECT pr_id, file_ord FROM pr_files WHERE {_LANG_SQL} = 'python'")
 def _(spark, sf_dir):
-    return fx.pr_files(spark, sf_dir).where(derive.language(F.col("filename")) == "python").select("pr_id", "file_ord")
+    return diff.of_language(fx.pr_files(spark, sf_dir), "python").select("pr_id", "file_ord")
 
 
 @query("f05_added_removed", f"WITH {LINES_SQL} SELECT pr_id, file_ord, hunk_no, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed FROM lines GROUP BY ALL")
@@ -153,9 +154,14 @@ def _(spark, sf_dir):
 
 @query("f17_skipped_prs", f"WITH {fx.PR_FILES_SQL} SELECT DISTINCT pr_id, 'skipped' AS status FROM pr_files p WHERE NOT EXISTS (SELECT 1 FROM pr_files r WHERE r.pr_id = p.pr_id AND {REVIEWABLE_SQL.replace('filename', 'r.filename').replace('status', 'r.status')})")
 def _(spark, sf_dir):
-    files = fx.pr_files(spark, sf_dir)
-    keep = files.where(derive.reviewable(F.col("filename"), F.col("status"))).select("pr_id")
-    return files.select("pr_id").distinct().join(keep, "pr_id", "left_anti").withColumn("status", F.lit("skipped"))
+    return diff.skipped(fx.pr_files(spark, sf_dir))
+
+
+@query("s09_file_defaults", f"WITH {fx.PR_FILES_SQL}, f AS (SELECT pr_id, file_ord, CASE WHEN file_ord % 5 = 0 THEN '' ELSE filename END AS filename, CASE WHEN file_ord % 3 = 0 THEN 'modified' ELSE status END AS status, CASE WHEN file_ord % 2 = 0 THEN 0 ELSE additions END AS additions, CASE WHEN file_ord % 7 = 0 THEN 0 ELSE deletions END AS deletions, CASE WHEN file_ord % 4 = 0 THEN '' ELSE patch END AS patch FROM pr_files) SELECT pr_id, file_ord, filename, status, additions, deletions, md5(patch) AS patch_md5, {_LANG_SQL} AS language FROM f")
+def _(spark, sf_dir):
+    gone = lambda c, k: F.when(F.col("file_ord") % k != 0, F.col(c))
+    given = fx.pr_files(spark, sf_dir).withColumns({c: gone(c, k) for c, k in (("filename", 5), ("status", 3), ("additions", 2), ("deletions", 7), ("patch", 4))})
+    return diff.with_defaults(given).select("pr_id", "file_ord", "filename", "status", "additions", "deletions", F.md5("patch").alias("patch_md5"), "language")
 
 
 @query("a14_entropy", f"WITH {FACTS_SQL} SELECT pr_id, file_ord, hunk_no, n_changed, entropy FROM hunks")
@@ -180,9 +186,9 @@ for _name, (_number, _, _) in signals.RULES.items():
         return signals_of(spark, sf_dir).where(F.col("rule") == n).select("pr_id", "filename", "hunk_no", "line_number", "signal_type", "risk_level", "confidence")
 
 
-@query("u03_signals", f"WITH {SIGNALS_SQL} SELECT pr_id, signal_type, count(*) AS n FROM sig GROUP BY ALL")
+@query("u03_signals", f"WITH {SIGNALS_SQL} SELECT pr_id, file_ord::BIGINT AS file_ord, filename, hunk_no, line_number, signal_type, risk_level, confidence::DOUBLE AS confidence, description FROM sig")
 def _(spark, sf_dir):
-    return signals_of(spark, sf_dir).groupBy("pr_id", "signal_type").agg(F.count("*").alias("n"))
+    return signals_of(spark, sf_dir).select("pr_id", "file_ord", "filename", "hunk_no", "line_number", "signal_type", "risk_level", "confidence", "description")
 
 
 @query("a05_level_counts", f"WITH {SIGNALS_SQL} SELECT pr_id, risk_level, count(*) AS n FROM sig GROUP BY ALL")
