@@ -22,6 +22,11 @@ PLACEHOLDERS = ["xxx", "placeholder", "example", "your_", "changeme", "replace_m
 SKIPPED_SUFFIXES = [".md", ".txt", ".json", ".yml", ".yaml"]
 
 
+# What is said of a secret, and what to do about it.
+SECRET_SAID = ("Potential secret detected: ", ". Secrets should never be committed to source control.")
+SECRET_REMEDY = "Use environment variables or a secret management service. Add this file to .gitignore if it contains real credentials."
+
+
 def scannable(path: Column) -> Column:
     out = ~path.endswith(SKIPPED_SUFFIXES[0])
     for s in SKIPPED_SUFFIXES[1:]:

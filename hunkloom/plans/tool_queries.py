@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
-from ..functions import derive
+from ..functions import derive, providers
 from ..operators import context, security, tools
 from ..sources import fixtures as fx
+from ..sources import landed
 from .engine_queries import _PLACE, _SECRETS, ESLINT_SQL, MYPY_SQL, RUFF_SQL, VECTORS_SQL, _bandit, _eslint, _mypy, _ruff, _semgrep
 from .review_queries import _LANG_SQL, _QUOTED, LINES_SQL, SCORES_SQL, lines_of
 
@@ -121,32 +125,104 @@ def _calls(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").selectExpr("doc_id AS call_id", "replace(text, 'token = ', 'secret = ') AS code", "CASE doc_id % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'go' WHEN 2 THEN 'rust' ELSE 'cobol' END AS language")
 
 
-@query("x07_check_security", f"""WITH {_CALLS_SQL},
+_FINDINGS_SQL = f"""{_CALLS_SQL},
 l AS (SELECT call_id, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1)::INT AS n FROM calls WHERE {_EXT_SQL} <> 'txt'),
 p AS (SELECT * FROM (VALUES {_SECRETS}) p(pattern, title, rule_id)),
-f AS (SELECT call_id, list(n ORDER BY n, rule_id) AS found, list(title ORDER BY n, rule_id) AS titles FROM l JOIN p ON regexp_matches(line, pattern) WHERE NOT ({_PLACE}) GROUP BY call_id)
-SELECT call_id, coalesce(found, []) AS found, coalesce(titles, []) AS titles, coalesce(len(found), 0)::INT AS "count" FROM calls LEFT JOIN f USING (call_id)""")
+f AS (SELECT call_id, n AS line, title, concat('{security.SECRET_SAID[0]}', title, '{security.SECRET_SAID[1]}') AS description, (row_number() OVER (PARTITION BY call_id ORDER BY n, rule_id) - 1)::INT AS ord, (count(*) OVER (PARTITION BY call_id))::INT AS n FROM l JOIN p ON regexp_matches(line, pattern) WHERE NOT ({_PLACE}))"""
+
+
+@query("x07_check_security", f"""WITH {_FINDINGS_SQL} SELECT call_id, coalesce(f.n, 0) AS "count", ord, line, CASE WHEN ord IS NOT NULL THEN 'critical' END AS severity, title, description, CASE WHEN ord IS NOT NULL THEN '{security.SECRET_REMEDY}' END AS remediation FROM calls LEFT JOIN f USING (call_id)""")
 def _(spark, sf_dir):
     out = tools.check_security(_calls(spark, sf_dir))
-    return out.select("call_id", F.transform("findings", lambda x: x["line"]).alias("found"), F.transform("findings", lambda x: x["title"]).alias("titles"), "count")
+    return out.select("call_id", "count", F.posexplode_outer("findings").alias("ord", "f")).select("call_id", "count", "ord", "f.*")
+
+
+#: Documents of a store: those of `embeddings`, with metadata by their number.
+_STORE = {"rule_id": "concat('R', id % 7)", "title": "concat('t', id)", "category": "CASE WHEN id % 2 = 0 THEN 'security' END", "severity": "CASE WHEN id % 3 = 0 THEN 'high' ELSE 'low' END", "file_path": "concat('f', id % 5, '.py')"}
+_FOUND_SQL = f"""{VECTORS_SQL}, c AS (SELECT query_id, query, CASE WHEN query_id % 200 = 0 THEN '' ELSE query_repo END AS repo, CASE WHEN query_id % 300 = 0 THEN 2 ELSE 5 END AS most FROM q),
+s AS (SELECT query_id, id, most, list_inner_product(query, embedding) / (sqrt(list_inner_product(query, query)) * sqrt(list_inner_product(embedding, embedding))) AS s FROM c, e WHERE c.repo = '' OR c.repo = e.repo),
+hits AS (SELECT query_id AS call_id, r - 1 AS ord, id, substr(concat('text ', id, repeat(' more', (id % 90)::INT)), 1, 300) AS content, round(greatest(0.0::DOUBLE, 1 - (1 - s)), 3) AS relevance FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, id))::INT AS r FROM s) WHERE r <= most)"""
+
+
+def _store_calls(spark, sf_dir):
+    e = fx.embeddings(spark, sf_dir)
+    meta = derive.present_keys(repo=F.col("repo"), **{k: F.expr(v) for k, v in _STORE.items()})
+    text = F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" more"), (F.col("id") % 90).cast("int")))
+    documents = e.select("id", text.alias("content"), meta.alias("metadata"), "embedding")
+    calls = e.where("id % 100 = 0").select(F.col("id").alias("call_id"), F.col("embedding").alias("query"), F.when(F.col("id") % 200 == 0, "").otherwise(F.col("repo")).alias("repo"), F.when(F.col("id") % 300 == 0, 2).alias("limit"))
+    return calls, documents
+
+
+@query("x07_query_standards", f"WITH {_FOUND_SQL} SELECT call_id, ord, {_STORE['rule_id']} AS rule_id, {_STORE['title']} AS title, coalesce({_STORE['category']}, '') AS category, content, relevance, NULL::VARCHAR AS source FROM hits")
+def _(spark, sf_dir):
+    out = tools.query_standards(*_store_calls(spark, sf_dir))
+    return out.select("call_id", F.posexplode_outer("standards").alias("ord", "x"), "source").select("call_id", "ord", "x.*", "source")
+
+
+_RULES_SQL = ", ".join(f"({i}, '{r}', '{t}', '{c}')" for i, (r, t, _, c, _) in enumerate(landed.DEFAULT_STANDARDS))
+
+
+@query("x07_default_standards", f"WITH r AS (SELECT * FROM (VALUES {_RULES_SQL}) r(ord, rule_id, title, category)) SELECT vec_id AS call_id, ord, rule_id, title, category, 'defaults' AS source FROM embeddings, r WHERE vec_id % 100 = 0 AND ord < CASE WHEN vec_id % 300 = 0 THEN 2 ELSE 5 END")
+def _(spark, sf_dir):
+    calls, _ = _store_calls(spark, sf_dir)
+    out = tools.query_standards(calls, None, landed.default_standards(spark))
+    return out.select("call_id", F.posexplode("standards").alias("ord", "x"), "source").select("call_id", "ord", "x.rule_id", "x.title", "x.category", "source")
+
+
+@query("x07_search_past_reviews", f"WITH {_FOUND_SQL} SELECT call_id, ord, content AS comment, {_STORE['severity']} AS severity, coalesce({_STORE['category']}, '') AS category, {_STORE['file_path']} AS file_path, relevance, NULL::VARCHAR AS note FROM hits")
+def _(spark, sf_dir):
+    out = tools.search_past_reviews(*_store_calls(spark, sf_dir))
+    return out.select("call_id", F.posexplode_outer("past_reviews").alias("ord", "x"), "note").select("call_id", "ord", "x.*", "note")
 
 
 @query("x07_query_store", f"""WITH {VECTORS_SQL}, c AS (SELECT query_id, query, CASE WHEN query_id % 200 = 0 THEN '' ELSE query_repo END AS repo FROM q),
 s AS (SELECT query_id, id, list_inner_product(query, embedding) / (sqrt(list_inner_product(query, query)) * sqrt(list_inner_product(embedding, embedding))) AS s FROM c, e WHERE c.repo = '' OR c.repo = e.repo)
 SELECT query_id AS call_id, rank, id, concat('text ', id) AS content FROM (SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, id))::INT AS rank FROM s) WHERE rank <= 5""")
 def _(spark, sf_dir):
-    e = fx.embeddings(spark, sf_dir).withColumn("content", F.concat(F.lit("text "), F.col("id").cast("string")))
+    e = fx.embeddings(spark, sf_dir).withColumns({"content": F.concat(F.lit("text "), F.col("id").cast("string")), "metadata": derive.present_keys(repo=F.col("repo"))})
     calls = e.where("id % 100 = 0").select(F.col("id").alias("call_id"), F.col("embedding").alias("query"), F.when(F.col("id") % 200 == 0, "").otherwise(F.col("repo")).alias("repo"))
     return tools.query_store(calls, e).select("call_id", "rank", "id", "content")
 
 
 _DIFFS_SQL = fx.PR_FILES_SQL.replace("pr_files AS (", "given AS (", 1) + ", pr_files AS (SELECT concat('d', file_ord) AS pr_id, 1 AS file_ord, 'file' AS filename, 'modified' AS status, (len(string_split(patch, chr(10) || '+')) - 1)::INT AS additions, (len(string_split(patch, chr(10) || '-')) - 1)::INT AS deletions, patch FROM given WHERE patch IS NOT NULL)"
+_PREDICT_SQL = SCORES_SQL.replace(fx.PR_FILES_SQL, _DIFFS_SQL).replace("PARTITION BY file_ord", "PARTITION BY pr_id, file_ord").replace("USING (file_ord, hunk_no)", "USING (pr_id, file_ord, hunk_no)").replace("heads AS (SELECT file_ord", "heads AS (SELECT pr_id, file_ord").replace("turns AS (SELECT file_ord", "turns AS (SELECT pr_id, file_ord")
 
 
-@query("x07_predict_bugs", "WITH " + SCORES_SQL.replace(fx.PR_FILES_SQL, _DIFFS_SQL).replace("PARTITION BY file_ord", "PARTITION BY pr_id, file_ord").replace("USING (file_ord, hunk_no)", "USING (pr_id, file_ord, hunk_no)").replace("heads AS (SELECT file_ord", "heads AS (SELECT pr_id, file_ord").replace("turns AS (SELECT file_ord", "turns AS (SELECT pr_id, file_ord") + " SELECT pr_id AS call_id, round(risk_score, 3) AS risk_score, risk_level, n_signals, recommendations FROM scored")
+@query("x07_predict_bugs", f"WITH {_PREDICT_SQL} SELECT pr_id AS call_id, round(risk_score, 3) AS risk_score, s.risk_level, array_to_string(recommendations, '|') AS recommendations, (row_number() OVER (PARTITION BY pr_id ORDER BY (grp, file_ord, hunk_no, rule)) - 1)::INT AS ord, signal_type AS type, g.risk_level AS signal_level, description, filename AS file, confidence::DOUBLE AS confidence FROM scored s JOIN sig g USING (pr_id) UNION ALL SELECT pr_id, round(risk_score, 3), risk_level, array_to_string(recommendations, '|'), NULL, NULL, NULL, NULL, NULL, NULL FROM scored WHERE n_signals = 0")
 def _(spark, sf_dir):
     calls = fx.pr_files(spark, sf_dir).where("patch IS NOT NULL").select(F.concat(F.lit("d"), F.col("file_ord").cast("string")).alias("call_id"), F.col("patch").alias("diff"))
-    return tools.predict_bugs(calls)
+    out = tools.predict_bugs(calls).withColumn("recommendations", F.array_join("recommendations", "|"))
+    return out.select("call_id", "risk_score", "risk_level", "recommendations", F.posexplode_outer("signals").alias("ord", "s")).select("call_id", "risk_score", "risk_level", "recommendations", "ord", "s.type", F.col("s.risk_level").alias("signal_level"), "s.description", "s.file", "s.confidence")
+
+
+def _digested(asked: list[str]) -> list[str]:
+    """A stand-in that tells what it was asked: the digest of the prompt, or, of code to be corrected, the code itself or (for odd numbers) in capitals."""
+    out = []
+    for p in asked:
+        if "context of a failing call" in p:
+            raise RuntimeError("refused")
+        if (code := re.search(r"Original code:\n```\n([\s\S]*)\n```\n", p)) is None:
+            out.append(hashlib.md5(p.encode()).hexdigest())
+        else:
+            odd = int(re.search(r"\d+", code[1])[0]) % 2
+            out.append(code[1].upper() if odd else f"```py\n{code[1]}\n```")
+    return out
+
+
+providers.MODELS["digested"] = _digested
+_ABOUT = "CASE call_id % 3 WHEN 0 THEN concat('about ', call_id) WHEN 1 THEN '' END"
+_REVIEW_SQL = f"md5(concat('{tools.REVIEWER}', chr(10), chr(10), 'Language: ', language, chr(10), CASE WHEN call_id % 3 = 0 THEN concat('Context: about ', call_id, chr(10)) ELSE '' END, chr(10), 'Diff to review:', chr(10), '```diff', chr(10), code, chr(10), '```', chr(10), chr(10), 'Provide your review as a JSON object with: summary, decision, and comments array.'))"
+
+
+@query("x07_review_diff", f"WITH {_CALLS_SQL} SELECT call_id, {_REVIEW_SQL} AS content, NULL::VARCHAR AS error FROM calls")
+def _(spark, sf_dir):
+    return tools.review_diff(_calls(spark, sf_dir).withColumn("context", F.expr(_ABOUT)).withColumnRenamed("code", "diff"), "digested")
+
+
+@query("x07_generate_patch", "SELECT doc_id AS call_id, CASE WHEN doc_id % 2 = 0 THEN '(no changes needed)' ELSE concat('--- a/m', doc_id, '.py', chr(10), '+++ b/m', doc_id, '.py', chr(10), '@@ -1,2 +1,2 @@', chr(10), '-x', doc_id, ' = ', lang, chr(10), '-y', '+X', doc_id, ' = ', upper(lang), chr(10), '+Y') END AS patch, NULL::VARCHAR AS error FROM documents")
+def _(spark, sf_dir):
+    calls = fx.table(spark, sf_dir, "documents").selectExpr("doc_id AS call_id", "concat('x', doc_id, ' = ', lang, chr(10), 'y') AS code", "concat('broken ', source) AS issue_description", "concat('m', doc_id, '.py') AS file_path")
+    return tools.generate_patch(calls, "digested")
 
 
 @query("x07_messages", f"""WITH {_CALLS_SQL} SELECT call_id, 'Language: ' || language || chr(10) || CASE WHEN call_id % 2 = 0 THEN 'Context: about it' || chr(10) ELSE '' END || chr(10) || 'Diff to review:' || chr(10) || '```diff' || chr(10) || code || chr(10) || '```' || chr(10) || chr(10) || 'Provide your review as a JSON object with: summary, decision, and comments array.' AS review,
@@ -156,8 +232,19 @@ def _(spark, sf_dir):
     return _calls(spark, sf_dir).select("call_id", tools.review_message(F.col("code"), F.col("language"), about).alias("review"), tools.patch_message(F.lit("a.py"), F.lit("broken"), F.col("code")).alias("patch"))
 
 
-@query("r23_tool_answers", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"content\":[{\"type\":\"text\",\"text\":\"Unknown tool: other\"}],\"isError\":true}' WHEN 1 THEN '{\"content\":[{\"type\":\"text\",\"text\":\"Error: no\"}],\"isError\":true}' ELSE '{\"content\":[{\"type\":\"text\",\"text\":\"done ' || event_id || '\"}]}' END AS answer FROM events")
+_ANSWER = lambda text, failed=False: f"concat('{{\"content\":[{{\"type\":\"text\",\"text\":\"', {text}, '\"}}]{',\"isError\":true' if failed else ''}}}')"
+
+
+_INNER = lambda text: "'" + text.replace('"', '\\"') + "'"
+_NO_FINDINGS, _NO_REVIEWS = '{"findings":[],"count":0}', '{"past_reviews":[],"note":"No review history available."}'
+
+
+@query("r23_tool_answers", f"""WITH {_FINDINGS_SQL}, one AS (SELECT call_id, concat('{{\\"findings\\":[', string_agg(concat('{{\\"line\\":', line, ',\\"severity\\":\\"critical\\",\\"title\\":\\"', title, '\\",\\"description\\":\\"', description, '\\",\\"remediation\\":\\"{security.SECRET_REMEDY}\\"}}'), ',' ORDER BY ord), '],\\"count\\":', count(*), '}}') AS found FROM f GROUP BY call_id)
+SELECT call_id, CASE call_id % 7 WHEN 0 THEN {_ANSWER("'Unknown tool: other'", True)} WHEN 1 THEN {_ANSWER("concat('Error: ', chr(39), 'language', chr(39))", True)} WHEN 2 THEN {_ANSWER("'Error: RuntimeError: refused'", True)} WHEN 3 THEN {_ANSWER(_REVIEW_SQL)}
+  WHEN 4 THEN {_ANSWER(f"coalesce(found, {_INNER(_NO_FINDINGS)})")} WHEN 5 THEN {_ANSWER(_INNER(_NO_REVIEWS))} ELSE {_ANSWER("concat('Error: ', chr(39), 'query', chr(39))", True)} END AS answer FROM calls LEFT JOIN one USING (call_id)""")
 def _(spark, sf_dir):
-    k = F.col("event_id") % 3
-    name, error = F.when(k == 0, "other").otherwise("predict_bugs"), F.when(k == 1, "no")
-    return fx.table(spark, sf_dir, "events").select("event_id", tools.answer(name, F.concat(F.lit("done "), F.col("event_id").cast("string")), error).alias("answer"))
+    k = F.col("call_id") % 7
+    name = F.when(k == 0, "other").when(k.isin(1, 2, 3), "review_diff").when(k == 4, "check_security").when(k == 5, "search_past_reviews").otherwise("query_standards")
+    about = F.when(k == 2, "context of a failing call").otherwise(F.expr(_ABOUT))
+    arguments = F.to_json(F.struct(F.when(k.isin(1, 2, 3), F.col("code")).alias("diff"), F.when(k != 1, F.col("language")).alias("language"), about.alias("context"), F.when(k == 4, F.col("code")).alias("code"), F.when(k == 5, F.col("code")).alias("code_snippet")))
+    return tools.execute(_calls(spark, sf_dir).select("call_id", name.alias("name"), arguments.alias("arguments")), model="digested", defaults=landed.default_standards(spark))

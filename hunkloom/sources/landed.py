@@ -114,7 +114,8 @@ def standards_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def default_standards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_STANDARDS, "rule_id string, title string, description string, category string, severity string").withColumns({"language": F.lit(None).cast("string"), "examples": F.lit(None).cast("string"), "tags": F.array().cast("array<string>")})
+    rows = [(i, *r) for i, r in enumerate(DEFAULT_STANDARDS)]
+    return spark.createDataFrame(rows, "ord int, rule_id string, title string, description string, category string, severity string").withColumns({"language": F.lit(None).cast("string"), "examples": F.lit(None).cast("string"), "tags": F.array().cast("array<string>")})
 
 
 def create_tables(spark: SparkSession, database: str) -> None:
