@@ -60,6 +60,22 @@ def payloads(positioned: DataFrame) -> DataFrame:
     return rows.groupBy("pr_id").agg(F.to_json(F.array_sort(F.collect_list("c"))).alias("comments"), F.count("*").alias("n_comments"))
 
 
+# What the body of a posted review says around its summary.
+POSTED_HEAD, POSTED_PATCHES = "## 🤖 Automated Code Review\n\n", ("\n\n📦 Generated ", " auto-fix patches.")
+
+
+def review_payloads(reviews: DataFrame, positioned: DataFrame) -> DataFrame:
+    """(pr_id, payload, n_comments): the request that posts each review (pr_id, summary, decision, n_patches) as JSON, with its inline comments
+    (pr_id, ordinal, filename, position, severity, category, message, suggested_fix) in order; without any it has no such field."""
+    body = comment_body(F.col("severity"), F.col("category"), F.col("message"), F.col("suggested_fix"))
+    inline = positioned.select("pr_id", F.struct("ordinal", F.struct(F.col("filename").alias("path"), "position", body.alias("body")).alias("c")).alias("o"))
+    inline = inline.groupBy("pr_id").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["c"]).alias("comments"))
+    n = F.coalesce("n_patches", F.lit(0))
+    text = F.concat(F.lit(POSTED_HEAD), "summary", F.when(n > 0, F.concat(F.lit(POSTED_PATCHES[0]), n.cast("string"), F.lit(POSTED_PATCHES[1]))).otherwise(F.lit("")))
+    out = reviews.join(inline, "pr_id", "left")
+    return out.select("pr_id", F.to_json(F.struct(text.alias("body"), event(F.col("decision")).alias("event"), "comments")).alias("payload"), F.coalesce(F.size("comments"), F.lit(0)).alias("n_comments"))
+
+
 def is_patchable(fix: Column, category: Column, severity: Column, line: Column) -> Column:
     return (F.coalesce(fix, F.lit("")) != "") | (category.isin(PATCHABLE_CATEGORIES) & severity.isin(PATCHABLE_SEVERITIES) & line.isNotNull())
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import derive
+
 # Known severities, categories and decisions.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 CATEGORIES = ["security", "bug", "performance", "style", "naming", "best_practice", "documentation", "testing", "maintainability"]
@@ -81,6 +83,32 @@ def stored_decision(decision: Column) -> Column:
     return F.when(decision.isin(DECISIONS), decision)
 
 
+def review_id(repo: Column, number: Column, sha: Column) -> Column:
+    """A review's id: the same pull request at the same commit has the same one."""
+    return derive.hashed_id(repo, "#", number, "@", sha)
+
+
+def stored_reviews(outputs: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Rows of the reviews table for finished reviews (repo, pr_number, pr_title, head_sha, author, decision, summary, files_reviewed,
+    lines_added, lines_deleted, duration_seconds, llm_tokens_used, comments) of known repositories (id, full_name)."""
+    own = outputs.join(repositories.select(F.col("id").alias("repository_id"), F.col("full_name").alias("repo")), "repo")
+    return own.select(review_id(F.col("repo"), F.col("pr_number"), F.col("head_sha")).alias("id"), "repository_id", "pr_number", "pr_title", "head_sha", "author", F.lit("completed").alias("status"), stored_decision(F.col("decision")).alias("decision"), "summary", "files_reviewed", "lines_added", "lines_deleted", "duration_seconds", "llm_tokens_used")
+
+
+def stored_comments(outputs: DataFrame) -> DataFrame:
+    """Rows of the comments table: one for each comment of a finished review, with known severities and categories."""
+    rows = outputs.select(review_id(F.col("repo"), F.col("pr_number"), F.col("head_sha")).alias("review_id"), F.posexplode("comments").alias("ordinal", "c"))
+    rows = normalised(rows.select("review_id", "ordinal", "c.*"))
+    return rows.select(derive.hashed_id(F.col("review_id"), ":", F.col("ordinal")).alias("id"), "review_id", "ordinal", "file_path", "line_number", "severity", "category", "message", "suggested_fix", "rule_id")
+
+
+def counted_repositories(known: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Repositories (id, full_name, total_reviews) with those that are new, and their finished reviews added to the totals."""
+    n = outputs.groupBy(F.col("repo").alias("full_name")).agg(F.count("*").cast("int").alias("_n"))
+    both = known.join(n, "full_name", "full_outer")
+    return both.select(F.coalesce("id", derive.hashed_id(F.col("full_name"))).alias("id"), "full_name", (F.coalesce("total_reviews", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("total_reviews"))
+
+
 def new_repositories(known: DataFrame, seen: DataFrame, key: str = "full_name") -> DataFrame:
     """Known repositories and those seen for the first time."""
     return known.unionByName(seen.select(key).distinct().join(known.select(key), key, "left_anti"), allowMissingColumns=True)

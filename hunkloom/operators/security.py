@@ -169,3 +169,13 @@ def has_python_files(paths: Column) -> Column:
 
 def has_test_files(paths: Column) -> Column:
     return F.exists(paths, lambda p: F.contains(F.lower(p), F.lit("test")) | F.contains(F.lower(p), F.lit("spec")))
+
+
+def run_output(stdout: Column, stderr: Column) -> Column:
+    """What an analyzer's run said: both of its outputs, as far as there are any, in lines."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws("\n", said(stdout), said(stderr))
+
+
+def run_succeeded(exit_code: Column, timed_out: Column) -> Column:
+    return (exit_code == 0) & ~F.coalesce(timed_out, F.lit(False))
