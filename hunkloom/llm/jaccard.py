@@ -4,12 +4,13 @@ A document is the set of its word shingles (52-bit hashes). Two sets are linked
 100 * intersection >= percent * union; classes are the connected components of the links.
 
 1. Index level. A set's elements, in the global order of their hashes, are cut into blocks by
-   position. Sets of linkable sizes differ in at most d elements, so with d + 1 blocks one block
-   is equal, and (walking the ring of blocks from a suitable one) the next three differ in three
-   elements at most. Index lists are keyed by (size level, block number, block content) and carry
-   a 64-bit parity map of the next three blocks: all other list entries are skipped unread. Blocks
-   of no element or one, which unrelated sets share by chance, are keyed by a quarter of the map as well
-   (four entries; of maps that differ in three bits one quarter is equal). A list
+   position. Sets of linkable sizes differ in at most d elements, so with d + 1 + t blocks, going round the ring
+   of blocks, t + 1 of them at least are equal and followed by three blocks that differ in three
+   elements at most (cycle lemma). Index lists are keyed by (size level, block number, block content) and carry
+   a 64-bit parity map of the next three blocks: all other list entries are skipped unread. Empty
+   blocks, which unrelated sets share by chance, have no list if the set has t of them at most: not all of
+   the t + 1 can be empty then, and a linked set, which has the same ones empty, does not miss them either. Blocks of one
+   element are keyed by a quarter of the map as well (four entries; of maps that differ in three bits one quarter is equal). A list
    is reduced to a spanning forest of its entries that pass, never to pairs.
 2. Answer level. Within a cluster (a component of what passed), the intersection sizes of one
    set with all others are counted once; those of a similar set are derived from them by the
@@ -27,6 +28,8 @@ component_id; rows repeating an id keep a row each; extra columns of the input a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import inf, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +99,18 @@ def _levels(sizes: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+@lru_cache(maxsize=None)
+def spare(blocks: int, percent: int) -> int:
+    """Blocks to add to those of a level, so that hardly any of its sets has more empty ones (fewer than one of 500 of its smallest sets)."""
+    least = max(1.0, (blocks - 1) * (100 + percent) / (100 - percent) / 2 / LEVEL_RATIO)
+    for t in range(2 * blocks + 64):
+        m = blocks + t
+        bound = lgamma(m + 1) - lgamma(t + 2) - lgamma(m - t) + least * (log1p(-(t + 1) / m) if t + 1 < m else -inf)
+        if bound < log(0.002):
+            return t
+    return 0
+
+
 def entries(bounds: np.ndarray, token: np.ndarray, sizes: np.ndarray, keep: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index entries (key, set index, parity map of the next three blocks) of the sets in `keep`."""
     content, bit = mix64(token + _M3), np.uint64(1) << (mix64(token * _M1) >> np.uint64(58))
@@ -103,6 +118,9 @@ def entries(bounds: np.ndarray, token: np.ndarray, sizes: np.ndarray, keep: np.n
         if not len(members):
             continue
         n = sizes[members]
+        of, at = np.unique(blocks, return_inverse=True)
+        extra = np.array([spare(int(x), percent) for x in of])[at]
+        blocks = blocks + extra
         pick = np.repeat(bounds[members] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         base = np.cumsum(blocks) - blocks
         flat = np.repeat(base, n) + ((token[pick] * np.repeat(blocks, n).astype(np.uint64)) >> np.uint64(TOKEN_BITS)).astype(np.int64)
@@ -117,9 +135,12 @@ def entries(bounds: np.ndarray, token: np.ndarray, sizes: np.ndarray, keep: np.n
         for k in (1, 2, 3):
             more = np.flatnonzero(blocks[owner] > k)
             ahead[more] ^= parity[base[owner[more]] + (number[more] + k) % blocks[owner[more]]]
-        thin = np.diff(edge) < 2
+        held = np.diff(edge)
+        empty = np.add.reduceat((held == 0).astype(np.int64), base)
+        thin = held < 2
         yield key[~thin], members[owner[~thin]], ahead[~thin]
-        for k in range(4):  # a block of no element or one says little: its list is split by the maps, of which one quarter is equal
+        thin &= (held > 0) | (empty > extra)[owner]
+        for k in range(4):  # a block of one element says little: its list is split by the maps, of which one quarter is equal
             quarter = (ahead[thin] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
             yield mix64(key[thin] + (quarter * np.uint64(4) + np.uint64(k + 1)) * _M3), members[owner[thin]], ahead[thin]
 
@@ -277,19 +298,24 @@ def _clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(found[owner].view(np.int64)), pa.array(maps.view(np.int64))], names=["list", "fp", "map"])
 
     def reduce(it):
-        held = None
+        held: list[list[np.ndarray]] = []  # parts of the list that may go on
         for batch in it:
             now = [batch.column(c).to_numpy() for c in ("list", "fp", "map")]
-            if held is not None:
-                now = [np.concatenate([h, x]) for h, x in zip(held, now, strict=True)]
-            cutoff = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last list may go on
-            held = [x[cutoff:] for x in now]
+            if not len(now[0]):
+                continue
+            if held and now[0][-1] == held[0][0][0]:
+                held.append(now)
+                continue
+            now = [np.concatenate(x) for x in zip(*held, now, strict=True)]
+            cutoff = np.searchsorted(now[0], now[0][-1])
+            held = [[x[cutoff:] for x in now]]
             if cutoff:
                 a, b = list_edges(now[0][:cutoff], now[1][:cutoff], now[2][:cutoff].view(np.uint64))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if held is not None and len(held[0]):
-            a, b = list_edges(held[0], held[1], held[2].view(np.uint64))
+        if held:
+            keys, ids, maps = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = list_edges(keys, ids, maps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     lists = docs.select("text").mapInArrow(index, "list long, fp long, map long")

@@ -71,15 +71,40 @@ def test_forest_is_the_components_of_near_maps():
     assert got == sorted(sorted(np.flatnonzero(label == x).tolist()) for x in set(label.tolist()))
 
 
-def test_index_lists_of_unrelated_sets_stay_short():
-    rnd, longest = np.random.default_rng(4), {}
-    for n in (1000, 4000):
-        sizes = rnd.integers(30, 120, n)
-        bounds = np.r_[0, np.cumsum(sizes)]
-        token = np.concatenate([np.sort(rnd.integers(0, 1 << 52, k)).astype(np.uint64) for k in sizes])
-        lists = np.concatenate([k for k, _, _ in jaccard.entries(bounds, token, sizes, np.ones(n, bool), 80)])
-        longest[n] = np.unique(lists, return_counts=True)[1].max()
-    assert longest[4000] <= 25  # without the split: over 90
+@pytest.mark.parametrize("percent, low, high, n", [(80, 30, 120, 1000), (80, 300, 600, 250), (90, 30, 120, 1000), (80, 5, 20, 1000)])
+def test_index_lists_of_unrelated_sets_do_not_grow(percent, low, high, n):
+    for times in (1, 16):
+        rnd, found = np.random.default_rng(4), []
+        for start in range(0, n * times, n):
+            sizes = rnd.integers(low, high + 1, n)
+            bounds = np.r_[0, np.cumsum(sizes)]
+            token = np.concatenate([np.sort(rnd.integers(0, 1 << 52, k)).astype(np.uint64) for k in sizes])
+            found += [(k, o + start, m) for k, o, m in jaccard.entries(bounds, token, sizes, np.ones(n, bool), percent)]
+        keys, ids, maps = (np.concatenate(x) for x in zip(*found, strict=True))
+        assert np.unique(keys, return_counts=True)[1].max() <= 3
+        assert len(jaccard.list_edges(keys, ids.astype(np.int64), maps)[0]) <= 3
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_list(percent):
+    rnd, missed = random.Random(percent), []
+    for _ in range(400):
+        a = {rnd.getrandbits(52) for _ in range(rnd.choice([1, 2, 4, 5, 7, 11, 30, 90, 400]))}
+        b = set(a)
+        while True:  # as far apart as the link allows
+            c = set(b)
+            c.add(rnd.getrandbits(52)) if rnd.random() < 0.5 else c.discard(rnd.choice(sorted(c)))
+            if not c or 100 * len(a & c) < percent * len(a | c):
+                break
+            b = c
+        if a == b:
+            continue
+        sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
+        sizes = np.array([len(x) for x in sets])
+        found = list(jaccard.entries(np.r_[0, np.cumsum(sizes)], np.concatenate(sets), sizes, np.ones(2, bool), percent))
+        keys, ids, maps = (np.concatenate([f[i] for f in found]) for i in range(3))
+        missed += [] if len(jaccard.list_edges(keys, ids.astype(np.int64), maps)[0]) else [(sizes, len(a & b))]
+    assert not missed
 
 
 # ---------------------------------------------------------------- line dedup
