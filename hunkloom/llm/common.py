@@ -76,6 +76,12 @@ def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def set_aside(df: DataFrame, own: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns of such names renamed, and how to rename them back."""
+    names = {c: f"_carried_{i}" for i, c in enumerate(df.columns) if c.lower() in own}
+    return df.withColumnsRenamed(names), {new: old for old, new in names.items()}
+
+
 def held_out(doc_id: str) -> F.Column:
     """True for rows whose labels may not be learned: crc32(doc_id as text) mod 4 is 2."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, segment_sum, text_blocks
+from .common import bound_batches, held_out, segment_sum, set_aside, text_blocks
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -182,9 +182,9 @@ def in_range(found: DataFrame, model: dict | None, text: str = "text") -> Column
 def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """The rows with lang_pred, score and bits_per_byte (of the best model). Only texts go to Python and only results come back."""
     new = ("lang_pred", "score", "bits_per_byte")
-    docs = docs.drop(*(c for c in new if c != text))
+    docs, back = set_aside(docs.drop(*(c for c in new if c != text)), {"_found", "_letters"} - {text})
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)}).withColumnsRenamed(back)
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.withColumns({"_found": found(F.col(text).cast("string")), "_letters": letters})
     out = {"lang_pred": F.when(F.col("_letters"), F.col("_found.lang_pred")).otherwise("und"), "score": F.when(F.col("_letters"), F.col("_found.score")).otherwise(0.0), "bits_per_byte": F.col("_found.bits_per_byte")}
-    return rows.withColumns(out).drop("_found", "_letters")
+    return rows.withColumns(out).drop("_found", "_letters").withColumnsRenamed(back)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", ranges: bool = False) -> dict | None:
