@@ -223,6 +223,35 @@ def test_line_dedup_large_groups_make_few_rows(spark):
     assert all(r.near_lines == ([0] if i else []) and r.kept_lines == ([1] if i else [0, 1]) for i, r in got.items())
 
 
+def test_neighbours_connect_what_is_within_one_edit(spark):
+    rnd, texts = random.Random(11), set()
+    for n in (9, 10, 11, 31, 32, 33, 63, 64, 65, 200):
+        base = "".join(rnd.choice("abé ") for _ in range(n))
+        for _ in range(30):
+            x, at = base, rnd.randrange(n)
+            for _ in range(rnd.randint(0, 2)):
+                x = x[:at] + rnd.choice(["", "z", "y", x[at : at + 1] + "z"]) + x[at + 1 :]
+                at = rnd.choice([at, rnd.randrange(n), 0, len(x) - 1])
+            texts.add(x)
+    texts = sorted(t for t in texts if t.strip())
+    unit = line_dedup.Characters(1, 10)
+    rows = spark.createDataFrame(list(enumerate(texts)), "h long, seq string")
+    links = [(r.a, r.b) for r in line_dedup.neighbours(unit, rows).collect()]
+    near = lambda a, b: abs(len(a) - len(b)) <= 1 and min(len(a), len(b)) >= 10 and edits(a, b) <= 1
+    assert links and all(near(texts[a], texts[b]) for a, b in links)
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+        for _ in range(len(texts)):
+            before = list(root)
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                return root
+
+    assert roots(links) == roots([(a, b) for a in range(len(texts)) for b in range(a) if near(texts[a], texts[b])])
+
+
 def test_line_dedup_odd_rows(spark):
     got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(odd(spark).withColumn("n_kept", F.lit("clash")).withColumn("h", F.lit(1)))).collect()}
     assert got[1].n_lines == 0 and got[1].kept_text is None and got[1].h == 1
