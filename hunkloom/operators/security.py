@@ -39,8 +39,10 @@ def is_placeholder(line: Column) -> Column:
 
 
 def scan_secrets(files: DataFrame, keys: list[str], path: str = "filename", content: str = "content") -> DataFrame:
-    """One row per line and pattern: each line is read once, the patterns are unrolled into one projection."""
-    lines = files.where(scannable(F.col(path))).select(*keys, path, F.posexplode(F.split(content, "\n", -1)).alias("i", "line"))
+    """One row per line and pattern: texts without any match are passed by whole, of the others each line is read once, the patterns are
+    unrolled into one projection."""
+    any_of = "|".join(f"(?:{p})" for p, _, _ in SECRETS)  # what matches in a line matches in its text
+    lines = files.where(scannable(F.col(path)) & F.col(content).rlike(any_of)).select(*keys, path, F.posexplode(F.split(content, "\n", -1)).alias("i", "line"))
     tried = F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(title).alias("title"), F.lit(rule).alias("rule_id"))) for p, title, rule in SECRETS))
     found = lines.select(*keys, path, (F.col("i") + 1).alias("line_number"), "line", F.explode(F.filter(tried, lambda s: s.isNotNull())).alias("s")).where(~is_placeholder(F.col("line")))
     return found.select(*keys, F.col(path).alias("file_path"), "line_number", F.lit("critical").alias("severity"), F.lit("medium").alias("confidence"), "s.title", F.lit("secrets").alias("tool"), "s.rule_id", F.substring(strip(F.col("line")), 1, 100).alias("code_snippet"))
