@@ -51,12 +51,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: later stages restart from files."""
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """`df` written as Parquet in the shared folder and read back, and its folder, which the caller may remove."""
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: later stages restart from files."""
+    return written(df, what)[0]
 
 
 #: Bounds of an Arrow batch, in bytes (as Spark estimates them) and rows.
@@ -199,10 +204,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Alternates the large-star and small-star steps (Kiveris et al., 2014): every node links to
     the smallest of its neighbours (large star), then all small neighbours link to the smallest
     (small star), until nothing changes. A step is two partial aggregations and a join, so a hot
-    node is split by AQE; each round's edge table is written to the shared folder.
+    node is split by AQE; each round's edge table is written to the shared folder, and the one before removed. Edges that
+    are stars already take one round.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    last = None
+    spark = edges.sparkSession
+    seen = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    last = seen(now)
     while True:
         # large star: larger neighbours of u point at the smallest of u's neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -212,8 +220,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = cut(small, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        old = path
+        now, path = written(small, "edges")
+        remove(spark, old)
+        state = seen(now)
         if last == state:
             break
         last = state
