@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ def put(folder, number, rows):
     folder.mkdir(exist_ok=True)
     lines = [json.dumps({"delivery_id": d, "ok": ok, "error": e, "at": (T0 + dt.timedelta(seconds=s)).isoformat() + "Z"}) for d, ok, e, s in rows]
     (folder / f"{number:03}.json").write_text("\n".join(lines))
+    os.utime(folder / f"{number:03}.json", (1.7e9 + number, 1.7e9 + number))  # the order in which files are read
 
 
 def run(spark, tmp_path, **options):
