@@ -31,7 +31,7 @@ from .common import TextBlock, bound_batches, segment_sum, text_blocks, with_fie
 
 BLANK = "▁"
 #: Units that a worker remembers at most, and bytes of a unit to be merged along with others at most.
-MAX_UNITS, MAX_UNIT_BYTES = 1_500_000, 48
+MAX_UNITS, MAX_UNIT_BYTES = 500_000, 48
 _READY: dict[str, Codec] = {}
 
 
