@@ -3,6 +3,10 @@
 A document is the set of its word shingles (52-bit hashes). Two sets are linked when
 100 * intersection >= percent * union; classes are the connected components of the links.
 
+0. Runs, where an index entry for almost each element would be needed (RUNS). Linked sets x and y that differ in D elements,
+   a of them in x, share D + 2 or more; the first D + 2 of these in the order of the hashes have D others between them at most, so two are next to
+   each other in both sets, within the first 2a + (D - a) + 2 elements of x, which is within the first 2 (1 - percent) of them and two more.
+   Sets without such a run in common with another one of a size that can be linked are linked with nothing and skip the rest.
 1. Index level. A set's elements, in the global order of their hashes, are cut into blocks by
    position. Sets of linkable sizes differ in at most d elements, so with d + 1 + t blocks, going round the ring
    of blocks, t + 1 of them at least are equal and followed by three blocks that differ in three
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import inf, lgamma, log, log1p
+from math import inf, lgamma, log, log1p, log2
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,10 @@ TOKEN_BITS, BLOCK_DOCS, BLOCK_BYTES = 52, 4096, 1 << 20
 LEVEL_RATIO = 1.75
 #: Elements of sets that a task holds at once.
 MAX_TOKENS = 1_500_000
+#: Percentages for which runs are looked for first: below, linked sets may have none; above, the index has no more entries than runs.
+RUNS = range(75, 86)
+#: Bits of a run's key that are its set's size, as 64ths of a power of two.
+SIZE_BITS = 12
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -145,6 +153,46 @@ def entries(bounds: np.ndarray, token: np.ndarray, sizes: np.ndarray, keep: np.n
             yield mix64(key[thin] + (quarter * np.uint64(4) + np.uint64(k + 1)) * _M3), members[owner[thin]], ahead[thin]
 
 
+def runs(bounds: np.ndarray, token: np.ndarray, sizes: np.ndarray, keep: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set index) of the pairs of neighbours among the first elements of the sets in `keep`."""
+    n = np.where(keep, np.minimum(sizes, 2 * sizes * (100 - percent) // 100 + 2), 0)
+    n = np.maximum(n - 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = bounds[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    size = np.minimum(64 * np.log2(np.maximum(sizes, 1)), (1 << SIZE_BITS) - 1).astype(np.int64)
+    key = mix64(token[at] * _M1 + token[at + 1]).view(np.int64)
+    return key >> SIZE_BITS << SIZE_BITS | size[owner], owner
+
+
+def with_kin(key: np.ndarray, ids: np.ndarray, percent: int) -> np.ndarray:
+    """Of the runs in arrays, the ids of sets that share one with another set of a size that can be linked."""
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
+    key, ids = key[fresh], ids[fresh]
+    near = (key[1:] >> SIZE_BITS == key[:-1] >> SIZE_BITS) & (key[1:] - key[:-1] <= int(64 * log2(100 / percent)) + 1)
+    return np.unique(ids[np.r_[near, False] | np.r_[False, near]])
+
+
+def _whole_lists(it, columns: tuple[str, ...], shift: int = 0) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first one, in pieces that hold whole lists; `shift`: its bits that don't tell lists apart."""
+    held: list[list[np.ndarray]] = []  # parts of the list that may go on
+    for batch in it:
+        now = [batch.column(c).to_numpy() for c in columns]
+        if not len(now[0]):
+            continue
+        if held and now[0][-1] >> shift == held[0][0][0] >> shift:
+            held.append(now)
+            continue
+        now = [np.concatenate(x) for x in zip(*held, now, strict=True)]
+        cutoff = np.searchsorted(now[0] >> shift, now[0][-1] >> shift)
+        held = [[x[cutoff:] for x in now]]
+        if cutoff:
+            yield [x[:cutoff] for x in now]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def forest(maps: np.ndarray) -> list[np.ndarray]:
     """Components of entries whose parity maps differ in at most three bits, as index arrays.
 
@@ -283,6 +331,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     return _classes(docs, key, text, n, percent)
 
 
+def _with_kin(docs: DataFrame, first: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of docs (id, text) that sets `first` (fp, id) with a run in common with another one are of."""
+
+    def cut_runs(it):
+        seen: set[int] = set()
+        for batch in it:
+            for _, bounds, token, sizes, found in sets_of(batch.column("text"), n):
+                keep = np.zeros(len(sizes), bool)
+                for k, fp in enumerate(found.tolist()):
+                    keep[k] = fp not in seen
+                    seen.add(fp)
+                key, owner = runs(bounds, token, sizes, keep, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(found[owner].view(np.int64))], names=["run", "fp"])
+
+    def kin(it):
+        for key, ids in _whole_lists(it, ("run", "fp"), SIZE_BITS):
+            yield pa.RecordBatch.from_arrays([pa.array(with_kin(key, ids, percent))], names=["fp"])
+
+    found = docs.select("text").mapInArrow(cut_runs, "run long, fp long").repartition(F.shiftright("run", SIZE_BITS)).sortWithinPartitions("run")
+    found = cut(found.mapInArrow(kin, "fp long").distinct(), "kin")
+    ids = cut(first.join(found, "fp").select(F.col("id").alias("own")).distinct(), "kin-ids")
+    return cut(docs.join(ids, docs["id"].eqNullSafe(ids["own"]), "left_semi"), "kin-texts")
+
+
 def _clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Components of what passes the index: node (a set), root. The index's shuffle ends with this function."""
 
@@ -298,25 +370,10 @@ def _clusters(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(found[owner].view(np.int64)), pa.array(maps.view(np.int64))], names=["list", "fp", "map"])
 
     def reduce(it):
-        held: list[list[np.ndarray]] = []  # parts of the list that may go on
-        for batch in it:
-            now = [batch.column(c).to_numpy() for c in ("list", "fp", "map")]
-            if not len(now[0]):
-                continue
-            if held and now[0][-1] == held[0][0][0]:
-                held.append(now)
-                continue
-            now = [np.concatenate(x) for x in zip(*held, now, strict=True)]
-            cutoff = np.searchsorted(now[0], now[0][-1])
-            held = [[x[cutoff:] for x in now]]
-            if cutoff:
-                a, b = list_edges(now[0][:cutoff], now[1][:cutoff], now[2][:cutoff].view(np.uint64))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if held:
-            keys, ids, maps = (np.concatenate(x) for x in zip(*held, strict=True))
+        for keys, ids, maps in _whole_lists(it, ("list", "fp", "map")):
             a, b = list_edges(keys, ids, maps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     lists = docs.select("text").mapInArrow(index, "list long, fp long, map long")
     pairs = lists.repartition("list").sortWithinPartitions("list").mapInArrow(reduce, "a long, b long")
@@ -335,9 +392,11 @@ def _classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
 
     id_type = docs.schema["id"].dataType.simpleString()
     measured = cut(docs.mapInArrow(measure, f"id {id_type}, size long, fp long"), "sets")
+    first = measured.where("size > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("size").alias("size"))
+    if percent in RUNS:
+        docs = _with_kin(docs, first, n, percent)
     cluster = _clusters(docs, n, percent)
 
-    first = measured.where("size > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("size").alias("size"))
     members = first.join(cluster.withColumnRenamed("node", "fp"), "fp")
     parts = members.groupBy("root").agg(F.ceil(F.sum("size") / MAX_TOKENS).cast("int").alias("parts"))
     members = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))

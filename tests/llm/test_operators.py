@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log2
@@ -307,6 +308,52 @@ def test_jaccard_against_brute_force(spark, monkeypatch, n, percent, most):
     assert got == brute_classes(rows, n, percent)
 
 
+@pytest.mark.parametrize("percent", [jaccard.RUNS[0], 80, jaccard.RUNS[-1]])
+def test_linked_sets_share_a_run(percent):
+    rnd, made = np.random.default_rng(percent), 0
+    for _ in range(3000):
+        n = int(rnd.integers(1, 120))
+        both = rnd.integers(0, 1 << 52, n, dtype=np.uint64)
+        spare_ = int(n * (100 - percent) / percent)  # as many differences as a link allows, dealt at random
+        x = int(rnd.integers(0, spare_ + 1))
+        more = rnd.integers(0, 1 << 52, spare_, dtype=np.uint64)
+        if rnd.random() < 0.3:  # all at the beginning, where runs are cut
+            more >>= np.uint64(7)
+        sets = [np.unique(np.r_[both, more[:x]]), np.unique(np.r_[both, more[x:]])]
+        if not spare_ or 100 * len(both) < percent * (len(both) + spare_):
+            continue
+        sizes = np.array([len(a) for a in sets])
+        key, owner = jaccard.runs(np.r_[0, np.cumsum(sizes)], np.concatenate(sets), sizes, np.ones(2, bool), percent)
+        assert jaccard.with_kin(key, owner, percent).tolist() == [0, 1]
+        made += 1
+    assert made > 2000
+
+
+def test_unrelated_sets_have_no_index(spark, monkeypatch):
+    rnd, seen = random.Random(8), []
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(100))) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, t in rows[:5]] + [(200, rows[0][1])]
+    whole = jaccard._clusters
+    monkeypatch.setattr(jaccard, "_clusters", lambda docs, *a: seen.append(sorted(r.id for r in docs.select("id").collect())) or whole(docs, *a))
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen == [[*range(5), *range(100, 105)]]
+    assert got == {i: 0 if i == 200 else i - 100 if i >= 100 else i for i, _ in rows}
+
+
+def test_shuffles_end_with_what_they_were_for(spark):
+    before, kept = spark.conf.get(common.CLEANUP), []
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    at = files()
+    for _ in range(3):
+        kept.append(spark.range(1000).select((F.col("id") % 7).alias("k")).groupBy("k").count())
+        assert common.cut(kept[-1], "test").count() == 7
+    for _ in range(40):
+        if files() <= at + 8:  # of the counts
+            break
+        time.sleep(0.25)
+    assert files() <= at + 8 and spark.conf.get(common.CLEANUP) == before
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard.classes(odd(spark)).collect()
     assert len(got) == len(ODD) and jaccard.classes(none(spark)).count() == 0
