@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, segment_sum, set_aside, text_blocks
+from .common import bound_batches, held, held_out, segment_sum, set_aside, text_blocks
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -35,7 +35,6 @@ MAX_DOCS, MAX_CHARS = 600, 200_000
 RANGE_BYTES, RANGE_TEXTS, RANGE_QUANTILE, RANGE_FACTOR, SLACK_BITS = 200, 50, 0.99, 2.0, 400
 _FREE = np.uint64(2**64 - 1)
 _BYTE = np.uint64(8)
-_READY: dict[str, list] = {}
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
@@ -131,10 +130,8 @@ def train(pairs: list[tuple[str, str]]) -> dict | None:
 
 def code_lengths(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each whole text under each language's model, and the texts' bytes."""
-    if model["id"] not in _READY:
-        _READY.clear()
-        _READY[model["id"]] = [(_slots(o["seen"]), _slots(o["contexts"])) for o in model["orders"]]
-    slots, langs = _READY[model["id"]], range(len(model["langs"]))
+    slots = held(model["id"], lambda: [(_slots(o["seen"]), _slots(o["contexts"])) for o in model["orders"]])
+    langs = range(len(model["langs"]))
     bits, sizes = np.zeros((len(column), len(langs))), np.zeros(len(column), np.int64)
     for block in text_blocks(column):
         n = len(block)

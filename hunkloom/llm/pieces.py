@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TextBlock, bound_batches, segment_sum, text_blocks, with_fields
+from .common import TextBlock, bound_batches, held, segment_sum, text_blocks, with_fields
 
 BLANK = "▁"
 #: Units that a worker remembers at most, and bytes of a unit to be merged along with others at most.
 MAX_UNITS, MAX_UNIT_BYTES = 500_000, 48
-_READY: dict[str, Codec] = {}
+#: Of these, units that stay between tasks.
+REST_UNITS = 100_000
 
 
 def spans(at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -220,6 +221,12 @@ class Codec:
         self.keys, self.length, self.count = self.keys[keep], self.length[keep], self.count[keep]
         self.at, self.again = np.cumsum(self.length) - self.length, np.zeros(len(self.keys), bool)
 
+    def rest(self) -> None:
+        """Between tasks, when others may need the memory, stay only REST_UNITS units that were met again."""
+        if len(self.keys) > REST_UNITS:
+            self.again &= np.cumsum(self.again) <= REST_UNITS
+            self.forget(np.zeros(0, np.int64))
+
     def encode_block(self, block: TextBlock) -> list[tuple[bytes, int, bytes]]:
         """For each text of a block (a blank in front of each) its ids, joined by commas, their number, and what they decode to."""
         data = block.data
@@ -276,9 +283,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """The worker's codec for a model file."""
-    if path not in _READY:
-        _READY[path] = Codec(path)
-    return _READY[path]
+    return held(path, lambda: Codec(path))
 
 
 def encode_texts(docs: DataFrame, model: str, text: str = "text", keep: bool = True) -> DataFrame:
@@ -304,6 +309,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", keep: bool = T
                     decoded.append(own)
             new = [pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(shown, pa.string())] + ([pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+        c.rest()
 
     return docs.mapInArrow(run, schema)
 

@@ -253,6 +253,20 @@ def test_neighbours_connect_what_is_within_one_edit(spark):
     assert roots(links) == roots([(a, b) for a in range(len(texts)) for b in range(a) if near(texts[a], texts[b])])
 
 
+def test_long_lists_make_a_few_keys_a_line(spark, monkeypatch):
+    rnd, made = random.Random(12), []
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(70)]
+    lines = [" ".join([*base[:i], w, *base[i + 1 :]]) for i in (rnd.randrange(70) for _ in range(300)) for w in ["".join(rnd.choice("xyz") for _ in range(5))]]
+    lines = sorted({*lines, lines[0][:200] + "Q" + lines[0][200:], lines[0][:-1] + "Q"})
+    whole = line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, what: (made.append(whole(df, what)) if what == "neighbours" else None) or (made[-1] if what == "neighbours" else whole(df, what)))
+    rows = spark.createDataFrame(list(enumerate(lines)), "h long, seq string")
+    links = {tuple(sorted((r.a, r.b))) for r in line_dedup.neighbours(line_dedup.Characters(1, 10), rows).collect()}
+    found = [x for x in links if any("Q" in lines[i] for i in x)]
+    assert len({i for x in found for i in x if "Q" in lines[i]}) == 2 and all(edits(lines[a], lines[b]) <= 1 for a, b in found)
+    assert sum(x.count() for x in made) < 60 * len(lines)
+
+
 def test_line_dedup_odd_rows(spark):
     got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(odd(spark).withColumn("n_kept", F.lit("clash")).withColumn("h", F.lit(1)))).collect()}
     assert got[1].n_lines == 0 and got[1].kept_text is None and got[1].h == 1
@@ -564,6 +578,18 @@ def test_pieces_against_the_library(spark):
     assert pieces.encode_texts(none(spark), path).count() == 0
 
 
+def test_workers_let_go_between_tasks(monkeypatch):
+    codec = pieces.Codec(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    texts = pa.array([" ".join(f"word{i}" for i in range(300)), "word7 word8 word7 " * 3])
+    want = list(codec.encode(texts))
+    assert list(codec.encode(texts)) == want and len(codec.keys) > 250
+    monkeypatch.setattr(pieces, "REST_UNITS", 50)
+    codec.rest()
+    assert len(codec.keys) == 50 and len(codec.pool) == codec.length.sum() and list(codec.encode(texts)) == want
+    one = common.held("one", list)
+    assert common.held("one", list) is one and common.held("two", list) is not one and common.held("one", list) is not one
+
+
 def test_pieces_with_a_small_memory(monkeypatch):
     codec = pieces.Codec(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
     monkeypatch.setattr(pieces, "MAX_UNITS", 30)
