@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held, held_out, segment_sum, set_aside, text_blocks
+from .common import bound_batches, held, held_out, let_go, segment_sum, set_aside, text_blocks
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -162,6 +162,7 @@ def rates(pairs: list[tuple[str, str]]) -> dict[str, float]:
     if model is None or not tests:
         return {}
     bits, sizes = code_lengths(model, pa.array([t for t, _ in tests]))
+    let_go()
     rate = bits.min(1) / sizes
     names = np.array([name for _, name in tests], dtype=object)
     return {name: float(np.quantile(rate[names == name], RANGE_QUANTILE) * RANGE_FACTOR) for name in model["langs"] if (names == name).sum() >= RANGE_TEXTS}

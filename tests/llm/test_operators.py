@@ -267,6 +267,20 @@ def test_long_lists_make_a_few_keys_a_line(spark, monkeypatch):
     assert sum(x.count() for x in made) < 60 * len(lines)
 
 
+def test_line_dedup_units_and_rounds_share_jobs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MAX_LIST", 4)
+    rnd, made, whole = random.Random(13), [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, what: made.append((what, df._jdf.queryExecution().analyzed().toString().count("Join "))) or whole(df, what))
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(12)]
+    near = [" ".join([*words[:6], "".join(rnd.choice("xyz") for _ in range(5)), *words[7:]]) for _ in range(20)]  # a changed word
+    line = "".join(rnd.choice("ijklmnop") for _ in range(60))
+    near += [line[:30] + f"{i}" + line[31:] for i in "0123456789QRSTUVWX"]  # a changed character
+    assert check_lines(spark, list(enumerate(near)), max_words=1) >= 30
+    names = [what for what, _ in made]
+    assert names.count("neighbours") > 1 and names.count("texts") == names.count("members") == 1 and names.count("pairs") == names.count("links") == 2
+    assert max(joins for what, joins in made if what == "pairs") <= 4  # however many rounds there were
+
+
 def test_line_dedup_odd_rows(spark):
     got = {r.doc_id: r for r in line_dedup.with_kept(line_dedup.dedup_lines(odd(spark).withColumn("n_kept", F.lit("clash")).withColumn("h", F.lit(1)))).collect()}
     assert got[1].n_lines == 0 and got[1].kept_text is None and got[1].h == 1
